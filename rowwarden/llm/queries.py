@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, secrets, toxicity
+from . import decontaminate, langid, mixing, pii, secrets, substrdedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -77,11 +77,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n_of(base, k.name).alias(f"n_{k.name}") for k in pii.BASE_KINDS], sha(span_text(base)).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrdedup.summary(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     return mixing.mix(docs, size=F.col("words")).select("doc_id", "source", "mix.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op5_language, op7_pii, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op5_language, op7_pii, op8_passages, op10_mixing)
 }
