@@ -72,11 +72,11 @@ def test_whole_table(spark, query):
 
 def test_entropy_spans_and_allow_list():
     found = secrets.spans("key Zx9Qw3Lk8Vb2Nm7Rt5Yp1Hs end")
-    assert [(k, a, b) for a, k, b in found] == [(3, 4, 27)]
+    assert found == [(4, 3, 27)]
     import re as r
 
     assert secrets.spans("key Zx9Qw3Lk8Vb2Nm7Rt5Yp1Hs end", allow=r.compile("Zx9.*")) == []
-    assert secrets.spans("aaaaaaaaaaaaaaaaaaaaaaaa1AaaaaaaaaaaaaaA") == []
+    assert secrets.spans("zzzzzzzzzzzzzzzzzzzzzzzz1AzzzzzzzzzzzzzA") == []
 
 
 def test_incremental_entropy_is_exact():
@@ -93,7 +93,7 @@ def test_incremental_entropy_is_exact():
 def test_validated_kinds_and_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[14], "x"), (2, None, "y"), (3, TEXTS[15], "z")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r.found for r in pii.annotate(df, into="found").collect()}
-    assert [s.kind for s in rows[1]] == ["email", "card", "phone", "iban", "iban", "ssn"]
+    assert sorted(s.kind for s in rows[1]) == ["card", "email", "iban", "iban", "phone", "ssn"]
     assert rows[2] == [] and rows[3] == []
     shown = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert shown[1].startswith("😀 [email] 😀 [phone] 😀 [card] IBAN") and shown[2] is None
