@@ -175,19 +175,25 @@ def _largest(x: np.ndarray, weight: np.ndarray) -> float:
     return 1.1 * norm
 
 
-def train(rows: DataFrame, *, text: str, label: str, key: Column, sample_docs: int = SAMPLE_DOCS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 1.0) -> ToxicityModel:
-    """A model fitted to about ``sample_docs`` rows of each label; rows whose label is null teach nothing."""
-    known = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("int").alias("l"), key.alias("k"))
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 1.0) -> ToxicityModel:
+    """A model fitted to the texts of about ``sample_docs`` rows of ``labels`` of each label.
+
+    The sample is drawn from the labels alone, so its size is bounded before it meets a text: it is broadcast
+    to the texts, which stay in place. Rows whose label or id is null teach nothing.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("l"))
+    sample = sample_per_label(known, "l", F.col("k"), sample_docs)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
+    drawn = texts.join(F.broadcast(sample), "k")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield feature_lists(texts)
 
     named = "(?i)\\b(" + "|".join(t for group in terms for t in group) + ")\\b"
-    drawn = sample_per_label(known, "l", F.col("k"), sample_docs)
     # Texts come along only where they name a group, or for a few insertions.
     carried = F.when(F.col("t").rlike(named), F.col("t")).when(F.pmod(F.xxhash64("k"), F.lit(50)) == 0, F.substring("t", 1, 400))
-    got = drawn.select("l", "k", F.arrow_udf(run, "array<long>")(F.col("t")).alias("h"), carried.alias("t")).orderBy("k", "t").toArrow()
+    got = drawn.select("l", "k", F.arrow_udf(run, "array<long>")(F.col("t")).alias("h"), carried.alias("t")).toArrow().sort_by([("k", "ascending"), ("l", "ascending")])
     h = got["h"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     hashes = [np.asarray(x.values).view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in h]
     pairs = counterfactuals([t for t in got["t"].to_pylist() if t], terms)
