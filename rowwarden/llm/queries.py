@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, secrets, substrdedup, toxicity
+from . import decontaminate, langid, mixing, neardup, pii, secrets, substrdedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -71,6 +71,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.annotate(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(*[k.name for k in pii.BASE_KINDS]))
@@ -87,5 +91,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op5_language, op7_pii, op8_passages, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op5_language, op6_neardup, op7_pii, op8_passages, op10_mixing)
 }
