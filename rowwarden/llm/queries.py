@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, pii, secrets, substrdedup, toxicity
+from . import decontaminate, embdedup, htmltext, langid, mixing, neardup, pii, secrets, substrdedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -61,6 +61,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def language_model(docs: DataFrame) -> langid.ByteNet:
     return langid.train(docs.where(remainder(F.col("doc_id"), 4) != 2), text="text", label="lang", key=F.col("doc_id"))
 
@@ -85,11 +90,15 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrdedup.summary(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     return mixing.mix(docs, size=F.col("words")).select("doc_id", "source", "mix.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op5_language, op6_neardup, op7_pii, op8_passages, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op4_main_text, op5_language, op6_neardup, op7_pii, op8_passages, op9_embeddings, op10_mixing)
 }
