@@ -201,7 +201,7 @@ def dates_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS at, o_orderkey % 4 <> 0 AS late FROM orders")
 def dates_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 2, F.unix_seconds("o_orderdate").cast("string")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"))
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 2, F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"))
     value, late = dates.chain(text, (dates.iso8601, dates.http_date, dates.unix_seconds, dates.pattern("dd/MM/yyyy HH:mm:ss")))
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("at"), late.alias("late"))
 
