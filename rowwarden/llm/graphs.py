@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import BROADCAST_ROWS, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,10 +22,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == mark:
             return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
+        # Minima of few edges are broadcast; others are written first, so that a join with them can split a node.
+        ready = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else lambda df: materialize(df, "least")
         both = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = ready(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        least = ready(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         found = materialize(small.where("u <> v").distinct(), "edges")
