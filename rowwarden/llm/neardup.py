@@ -8,7 +8,8 @@ the place selects. Independent trees repeat this until the recall aimed at is re
 
 All that finds candidates; they form coarse groups. Within a coarse group the links are confirmed on full
 sets: every set outside the largest component is compared with all sets of its group. A coarse group that is
-too large for one task is cut into overlapping windows in several orders of its minwise tokens.
+too large for one task is first cut into overlapping windows in several orders of its minwise tokens; the sets
+that these leave outside the largest component are then compared with all sets of the group, spread over tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAF = 1024
 BRANCHES = 2
 #: Sets and shingles of a coarse group, or of a window of a larger one, that one task compares in full.
 GROUP_SETS, GROUP_SHINGLES = 1000, 1_500_000
+#: Sets and shingles on each side of a cell, in which one task compares sets of a larger coarse group with others of it.
+CELL_SETS, CELL_SHINGLES = 512, 750_000
 #: Orders in which larger coarse groups are cut into windows.
 ORDERS = 4
 #: Pivots, of some 300 bytes each, up to which they are broadcast.
@@ -185,6 +188,44 @@ def exact_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label[np.isin(label, joined)] = min(joined.min(), label[k])
 
 
+def cross_links(sets: list[np.ndarray], asks: np.ndarray, part: np.ndarray, main: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the sets that ask to those that don't, as places in ``sets``: enough to connect what is linked.
+
+    Sets of equal ``part`` are connected already and aren't compared, nor is a set once it is connected to
+    the part marked ``main``, whose own links are asked for by the sets outside it.
+    """
+    a, b = [], []
+    code = np.unique(part, return_inverse=True)[1]
+    label = np.arange(code.max(initial=-1) + 1)
+    home = code[main][0] if main.any() else None
+    size = np.array([len(s) for s in sets])
+    others = np.flatnonzero(~asks)
+    others = others[np.argsort(size[others], kind="stable")]
+    if not len(others) or len(others) == len(sets):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    which = np.unique(np.concatenate([sets[k] for k in [*others, *np.flatnonzero(asks)]]), return_inverse=True)[1]
+    start = np.append(0, np.cumsum(size[others]))
+    mark, at = np.zeros(which.max() + 1, dtype=bool), int(start[-1])
+    for k in np.flatnonzero(asks):
+        own, at = which[at : at + size[k]], at + size[k]
+        if home is not None and label[code[k]] == label[home]:
+            continue
+        lo, hi = np.searchsorted(100 * size[others], percent * size[k]), np.searchsorted(percent * size[others], 100 * size[k], "right")
+        near = others[lo:hi]
+        if not (label[code[near]] != label[code[k]]).any():
+            continue
+        mark[own] = True
+        shared = np.add.reduceat(mark[which[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
+        mark[own] = False
+        near = near[100 * shared >= percent * (size[k] + size[near] - shared)]
+        joined, first = np.unique(label[code[near]], return_index=True)
+        first = first[joined != label[code[k]]]
+        a += [k] * len(first)
+        b += near[first].tolist()
+        label[np.isin(label, joined)] = label[code[k]]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
 def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         return [s for _, _, buf, offs in slabs(texts) for s in shingle_sets(buf, offs, words)]
@@ -294,7 +335,8 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     big = members.where("big")
     if not big.isEmpty():
         tokens = big.join(reps.select("rep", "tokens"), "rep")
-        edges = edges.union(_windows(keyed, tokens, n_members, words, percent))
+        windows = _windows(keyed, tokens, n_members, words, percent)
+        edges = edges.union(windows).union(_finish(keyed, big, windows, n_members, words, percent))
     final = components(edges)
     ids = reps.where("rep < last").select("rep", "same").withColumn("component_id", F.col("rep"))
     linked = reps.select("rep", "same").join(if_small(final, n_members), F.col("rep") == F.col("node")).select("rep", "same", F.col("component").alias("component_id"))
@@ -337,6 +379,46 @@ def _windows(keyed: DataFrame, members: DataFrame, n_members: int, words: int, p
     return materialize(found, "windows")
 
 
+def _finish(keyed: DataFrame, members: DataFrame, windows: DataFrame, n_members: int, words: int, percent: int) -> DataFrame:
+    """Links between the components that the windows left in large coarse groups.
+
+    Every set outside the largest component of its group is compared with all sets of the group, as
+    :func:`exact_roots` does within one task. The former are dealt to blocks, all of them to chunks, and each
+    pair of a block and a chunk is a cell of bounded size.
+    """
+    known = components(windows).select(F.col("node").alias("rep"), "component")
+    parts = members.join(if_small(known, n_members), "rep", "left").select("rep", "coarse", "same", "n_shingles", F.coalesce("component", "rep").alias("part"))
+    parts = materialize(parts, "parts")
+    sizes = parts.groupBy("coarse", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    rank = F.struct("n", "part")
+    groups = sizes.groupBy("coarse").agg(F.max_by("part", rank).alias("largest"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("n").alias("most"), F.max_by("total", rank).alias("held")).where("n > most")
+    cells = lambda n, total: F.greatest(F.ceil(n / CELL_SETS), F.ceil(total / CELL_SHINGLES)).cast("int")
+    n, total = F.col("n"), F.col("total")
+    groups = materialize(groups.select("coarse", "largest", cells(n - F.col("most"), total - F.col("held")).alias("blocks"), cells(n, total).alias("chunks")), "left")
+    deal = lambda of, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), of).cast("int")
+    dealt = parts.join(if_small(groups, groups.count()), "coarse").withColumns({"block": deal(F.col("blocks"), 2), "chunk": deal(F.col("chunks"), 3)})
+    dealt = dealt.select(F.col("rep").alias("doc_id"), "coarse", "same", "part", (F.col("part") == F.col("largest")).alias("main"), "block", "chunk", "blocks", "chunks")
+    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.col("chunk"), F.lit(False).alias("asks")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.col("block"), k.alias("chunk"), F.lit(True).alias("asks")))
+    rows = keyed.join(if_small(dealt, n_members), "doc_id")
+    rows = rows.select("doc_id", "coarse", "same", "part", "main", "text", F.explode(F.when(F.col("main"), all_).otherwise(F.concat(all_, asking))).alias("at")).select("*", "at.*").drop("at")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, same = t.column("doc_id").to_numpy(), t.column("same").to_pylist()
+        asks, part, main = (t.column(c).to_numpy() for c in ("asks", "part", "main"))
+        sets, at, seen = [], [], set()
+        for k, s in enumerate(_sets_of(_combined(t, "text"), words)):
+            if hashlib.sha256(s.tobytes()).digest()[:16] == same[k] and (ids[k], asks[k]) not in seen:
+                seen.add((ids[k], asks[k]))
+                sets.append(s)
+                at.append(k)
+        at = np.array(at, dtype=np.int64)
+        a, b = cross_links(sets, asks[at], part[at], main[at], percent)
+        return pa.Table.from_arrays([pa.array(ids[at[a]], pa.int64()), pa.array(ids[at[b]], pa.int64())], names=["a", "b"])
+
+    return materialize(rows.groupBy("coarse", "block", "chunk").applyInArrow(compare, "a long, b long"), "finished")
+
+
 def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Windows of rows of one order and coarse group, each overlapping half of the one before."""
     held: pa.Table | None = None
