@@ -26,7 +26,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a secret of a known form."""
+    """Drops documents that hold a secret of a known form or of high entropy."""
     return secrets.remove(docs)
 
 

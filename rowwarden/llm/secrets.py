@@ -29,25 +29,32 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Characters of one encoding; windows of ``width`` with at least ``bits`` of entropy count, if they mix ``groups`` of lower, upper and digit."""
+    """Characters of one encoding; windows of ``width`` with at least ``bits`` of entropy count, if they mix ``groups`` of lower, upper and digit.
+
+    ``turns`` is the least number of places in a window where a letter meets a digit: names with a number have few.
+    """
 
     name: str
     characters: str
     width: int
     bits: float
     groups: int
+    turns: int = 0
 
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharClass("hex", _DIGITS + "abcdefABCDEF", 24, 3.0, 2),
     CharClass("base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_-", 20, 3.6, 3),
+    CharClass("lower", _DIGITS + _LOWER, 24, 3.6, 2, 4),
+    CharClass("upper", _DIGITS + _LOWER.upper(), 24, 3.6, 2, 4),
 )
-#: Strings that look random but aren't secret: UUIDs, dates and version numbers.
+#: Strings that look random but aren't secret: UUIDs, dates, version numbers, and paths or names of words and numbers.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9:-]+)?",
     r"v?[0-9]+(?:[._-][0-9]+)+",
+    r"[/_+=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_+=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_+=-]*",
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
@@ -56,6 +63,12 @@ def _group(c: str) -> int:
     return 0 if c in _LOWER else 1 if c in _DIGITS else 2 if c.isalpha() else 3
 
 
+def _turn(run: str, k: int) -> int:
+    """1 where a letter and a digit meet at ``k``."""
+    a, b = _group(run[k - 1]), _group(run[k])
+    return int(a != b and 1 in (a, b) and 3 not in (a, b))
+
+
 def entropy_windows(run: str, kind: CharClass) -> Iterator[tuple[int, int]]:
     """Merged spans of the windows of ``run`` that reach the entropy of ``kind``."""
     width = kind.width
@@ -64,7 +77,7 @@ def entropy_windows(run: str, kind: CharClass) -> Iterator[tuple[int, int]]:
     part = [0.0] + [c / width * log2(width / c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
     groups = [0, 0, 0, 0]
-    entropy, begin, stop = 0.0, -1, -1
+    entropy, turns, begin, stop = 0.0, 0, -1, -1
     for k, c in enumerate(run):
         if k >= width:
             gone = run[k - width]
@@ -72,11 +85,13 @@ def entropy_windows(run: str, kind: CharClass) -> Iterator[tuple[int, int]]:
             counts[gone] = n - 1
             groups[_group(gone)] -= 1
             entropy += part[n - 1] - part[n]
+            turns -= _turn(run, k - width + 1) if kind.turns else 0
         n = counts.get(c, 0)
         counts[c] = n + 1
         groups[_group(c)] += 1
         entropy += part[n + 1] - part[n]
-        if k >= width - 1 and entropy >= kind.bits - 1e-9 and sum(x > 0 for x in groups[:3]) >= kind.groups:
+        turns += _turn(run, k) if kind.turns and k else 0
+        if k >= width - 1 and entropy >= kind.bits - 1e-9 and turns >= kind.turns and sum(x > 0 for x in groups[:3]) >= kind.groups:
             if begin >= 0 and k - width + 1 > stop:
                 yield begin, stop
                 begin = -1
@@ -134,7 +149,7 @@ def annotate(docs: DataFrame, *, text: str = "text", classes: Sequence[CharClass
     return docs.withColumn(raw, F.arrow_udf(run, _TYPE).asNondeterministic()(F.col(text))).withColumn(into, zipped).drop(raw)
 
 
-def remove(docs: DataFrame, *, kinds: Sequence[str] = KINDS[:3], **options) -> DataFrame:
+def remove(docs: DataFrame, *, kinds: Sequence[str] = KINDS, **options) -> DataFrame:
     """``docs`` without the rows that hold a secret of one of ``kinds``; options as for :func:`annotate`."""
     found = free_name(docs, "_secrets")
     return annotate(docs, into=found, **options).where(~F.exists(found, lambda s: s["kind"].isin(*kinds))).drop(found)

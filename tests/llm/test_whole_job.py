@@ -2,7 +2,8 @@
 
 import random
 
-from rowwarden.llm import neardup
+import corpus_pipeline
+from rowwarden.llm import neardup, secrets
 
 
 def test_copies_that_link_only_through_their_original(spark):
@@ -29,3 +30,25 @@ def test_copies_that_link_only_through_their_original(spark):
     found = {r.doc_id: r.component_id for r in neardup.link(docs).collect()}
     assert {found[n + 1] for n in range(3000)} | {found[5000]} == {1}
     assert found[3001] == found[3002] == 3001
+
+
+def test_pipeline_drops_random_keys_and_keeps_clean_texts(spark):
+    rng = random.Random(12)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (40, 64) for _ in range(100)]
+    clean = [
+        "plain words only", None, "", "uuid 123e4567-e89b-12d3-a456-426614174000 of 2024-01-31T10:20:30", "see wiki/Barack_Obama-2008_Presidential/Campaign",
+        "some_long_snake_case_name_with_2_numbers_42", "backup20240131productiondatabase", "LONGCONSTANTNAME2024FORTESTSUITE", "donaudampfschifffahrtsgesellschaft",
+    ]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*clean, *[f"the key {k} ends" for k in keys]])], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_secrets(spark, docs, "").collect()}
+    assert kept >= set(range(len(clean)))
+    assert len(kept) - len(clean) <= 0.01 * len(keys)
+
+
+def test_windows_of_turns_are_exact():
+    kind = secrets.CharClass("x", "", 6, 1.0, 2, 3)
+    run = "a1b2ccccc3dddd4e5f6gggggg7h8"
+    meets = lambda w: sum(x.isdigit() != y.isdigit() for x, y in zip(w, w[1:]))
+    good = {p for k in range(len(run) - 5) if meets(run[k : k + 6]) >= 3 for p in range(k, k + 6)}
+    assert {p for a, b in secrets.entropy_windows(run, kind) for p in range(a, b)} == good
