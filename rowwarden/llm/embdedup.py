@@ -22,8 +22,10 @@ from .graphs import components
 DEGREE, SPARE, BEAM, BATCH = 16, 8, 64, 256
 #: Shards; more once a shard would exceed ``SHARD_ROWS`` vectors, which is what a task must hold.
 SHARDS, SHARD_ROWS = 6, 500_000
-#: Queries of a block, queries of a block that are audited, and the share of their links that must be found.
+#: Queries of a block, queries of a block that are audited, and the mean share of its links that a query with links must find.
 BLOCK_ROWS, AUDITED, AUDIT_RECALL = 8192, 128, 0.99
+#: Links of a query within a shard up to which it is also audited among those with few.
+FEW = 16
 
 
 def _select(sims: np.ndarray, vectors: np.ndarray, degree: int) -> np.ndarray:
@@ -203,11 +205,14 @@ def search_block(graph: Graph, raw: np.ndarray, ids: np.ndarray, copies: np.ndar
     q32 = q.astype(np.float32)
     least, beam = threshold - 1e-4, BEAM
     audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-    truth = (q[audit] @ own.T) >= threshold
+    truth = ((q[audit] @ own.T) >= threshold) & (ids[None, :] != q_ids[audit][:, None])
+    total = truth.sum(axis=1)
+    # Queries of a large cluster, which find their links easily, don't speak for those with few links.
+    kinds = [k for k in (total > 0, (total > 0) & (total <= FEW)) if k.any()]
     while True:
         got = graph.within(q32[audit], least, beam)
-        hits = sum(int(truth[k, got[k]].sum()) for k in range(len(audit)))
-        if hits >= AUDIT_RECALL * truth.sum() or beam >= len(raw):
+        recall = np.array([truth[k, got[k]].sum() for k in range(len(audit))]) / np.maximum(total, 1)
+        if all(recall[k].mean() >= AUDIT_RECALL for k in kinds) or beam >= len(raw):
             break
         beam *= 2
     found = graph.within(q32, least, beam)

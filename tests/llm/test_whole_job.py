@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from rowwarden.llm import neardup, secrets
+from rowwarden.llm import embdedup, neardup, secrets
 
 
 def test_copies_that_link_only_through_their_original(spark):
@@ -52,3 +54,22 @@ def test_windows_of_turns_are_exact():
     meets = lambda w: sum(x.isdigit() != y.isdigit() for x, y in zip(w, w[1:]))
     good = {p for k in range(len(run) - 5) if meets(run[k : k + 6]) >= 3 for p in range(k, k + 6)}
     assert {p for a, b in secrets.entropy_windows(run, kind) for p in range(a, b)} == good
+
+
+def test_audit_isnt_outvoted_by_a_large_cluster():
+    """A search that finds the links of a cluster of 300 at once, and those of 300 pairs only with wider beams."""
+    rng = np.random.default_rng(13)
+    hub, ends = rng.normal(size=64), rng.normal(size=(300, 64))
+    raw = np.concatenate([hub + 0.1 * rng.normal(size=(300, 64)), ends, ends + 0.05 * rng.normal(size=(300, 64))])
+    raw = raw[rng.permutation(len(raw))]
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+
+    class Search:
+        def within(self, q, least, beam):
+            good = q @ unit.T >= least
+            return [np.flatnonzero(g) if g.sum() > 10 or beam >= 256 else np.array([s.argmax()]) for g, s in zip(good, q @ unit.T)]
+
+    ids = np.arange(len(raw))
+    links, _ = embdedup.search_block(Search(), raw, ids, np.ones(len(raw), dtype=np.int64), raw, ids, 0.9)
+    assert links.tolist() == (linked.sum(axis=1) - 1).tolist()
