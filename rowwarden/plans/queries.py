@@ -134,6 +134,17 @@ def rule_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(rows, "doc_id", Field("w", "array<string>", [R.count(8, 12), R.unique, R.each(R.min_(2))], optional=True))
 
 
+_WHOLE = "(SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)"
+
+
+@query(codes(_WHOLE, "doc_id", ("w", "wrong_count", "len(w) NOT BETWEEN 20 AND 400"), ("w", "not_unique", "len(list_distinct(w)) <> len(w)")) + f" UNION ALL SELECT doc_id, 'w[' || (i - 1) || ']' AS path, 'too_small' AS code FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {_WHOLE}) WHERE length_grapheme(w[i]) < 2")
+def rule_collections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    schema = Schema("row", [Field("w", "array<string>", [R.count(20, 400), R.unique, R.each(R.min_(2))], optional=True)])
+    every = validate.annotate(rows, schema, max_issues=2**31 - 1)  # a text can have an issue for every word
+    return every.select("doc_id", F.explode("_issues").alias("i")).select("doc_id", "i.path", "i.code")
+
+
 @query(codes("(SELECT l_orderkey * 10 + l_linenumber AS k, l_shipdate FROM lineitem)", "k", ("l_shipdate", "date_not_before", "NOT l_shipdate < TIMESTAMP '1997-01-01'"), ("l_shipdate", "date_not_after", "NOT l_shipdate > TIMESTAMP '1994-01-01'")))
 def rule_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_shipdate")
@@ -169,6 +180,13 @@ def defaults_and_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~(F.col("c_custkey") % 6).isin(1, 4)).select("c_custkey", "value.age", (F.size(F.filter("_warnings", lambda w: w["code"] == "fallback_applied")) > F.when(F.col("c_custkey") % 6 == 0, 1).otherwise(0)).alias("fell_back"))
 
 
+@query("SELECT c_custkey, CAST(CASE c_custkey % 6 WHEN 2 THEN 3 WHEN 4 THEN NULL WHEN 5 THEN 5 ELSE 18 END AS BIGINT) AS age, c_custkey % 6 <> 4 AS accepted FROM customer")
+def defaults_and_fallbacks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = Schema("person", [Field("age", "long", [R.max_(150)], default=18, fallback=18)])
+    rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MADE).alias("doc")), schema, "doc")
+    return rows.select("c_custkey", "value.age", (F.size("_issues") == 0).alias("accepted"))
+
+
 @query("SELECT event_type || 'x' AS path, event_type AS did_you_mean, count(*) AS n FROM events GROUP BY 1, 2")
 def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["signup", "purchase", "view", "click", "error"]
