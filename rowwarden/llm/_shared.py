@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Rows up to which a side of narrow rows (a few longs) may be broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -59,3 +60,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem = f"_{stem}"
     return stem
+
+
+def require_integral(df: DataFrame, *names: str) -> None:
+    """Refuses a table whose ids aren't whole numbers, before any job."""
+    for name in names:
+        kind = df.select(name).schema[0].dataType
+        if not isinstance(kind, IntegralType):
+            raise TypeError(f"{name} must be a whole number, not {kind.simpleString()}")

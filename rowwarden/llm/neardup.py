@@ -2,45 +2,44 @@
 
 Every text becomes the set of its word shingles; equal sets are one node from there on. A tree starts with a
 minwise token per set and puts the sets that share it in one place. A place with few sets is compared
-exhaustively by sketches. A larger one first compares its sets with a pivot; sets so close to it that all
-their partners must be near it too are settled, and the others branch along two further minwise tokens that
-the place selects. Independent trees repeat this until the recall aimed at is reached.
-
-All that finds candidates; they form coarse groups. Within a coarse group the links are confirmed on full
-sets: every set outside the largest component is compared with all sets of its group. A coarse group that is
-too large for one task is first cut into overlapping windows in several orders of its minwise tokens; the sets
-that these leave outside the largest component are then compared with all sets of the group, spread over tasks.
+exhaustively: sketches tell which of its sets may be linked, and these are compared on full sets. A larger
+place is first compared with a pivot, also on full sets, and then branches along one or two further minwise
+tokens that it selects. Sets that are linked already through a pivot go along, but only to meet sets that
+aren't. Independent trees repeat this until the recall aimed at is reached.
+
+Which sets are compared doesn't depend on the size of a group beyond that; every link reported is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import if_small, materialize
+from ._shared import if_few, if_small, materialize, require_integral
 from ._text import FOLD, NONSPACE, hash_spans, lists, mix, ranges, slabs, word_spans
 from .graphs import components
 
 #: Minwise tokens of a set.
 TOKENS = 64
-#: Sets of a place that are compared exhaustively: their sketches take 64 KB. Smaller places cost more branching than they save.
+#: Sets of a place that are compared exhaustively: their sketches take 64 KB.
 LEAF = 1024
-#: Tokens that a larger place selects.
-BRANCHES = 2
-#: Sets and shingles of a coarse group, or of a window of a larger one, that one task compares in full.
-GROUP_SETS, GROUP_SHINGLES = 1000, 1_500_000
-#: Sets and shingles on each side of a cell, in which one task compares sets of a larger coarse group with others of it.
-CELL_SETS, CELL_SHINGLES = 512, 750_000
-#: Orders in which larger coarse groups are cut into windows.
-ORDERS = 4
-#: Pivots, of some 300 bytes each, up to which they are broadcast.
-PIVOT_ROWS = 50_000
+#: Tokens that a larger place selects on average: one, and a second one in half of the places.
+BRANCHES = 1.5
+#: Tokens along which a place branches before its sets meet the next pivot.
+STRIDE = 3
+#: Sets and shingles that one task compares in full; of a larger cell, each pair of blocks is a task.
+CELL_SETS, CELL_SHINGLES = 1024, 1_000_000
+#: Sets of a chunk of a large place that one task compares with the pivot.
+CHUNK_SETS = 256
+#: Levels after which a place that its tokens don't split is compared in full without sketches.
+LEVELS = 24
 #: Recall of links that the number of trees is chosen for.
 RECALL = 0.9999
 
@@ -51,9 +50,14 @@ _TURN = (_rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * _U(2) + _U(1))[:, No
 
 
 def trees(similarity: float, recall: float = RECALL) -> int:
-    """Trees that find a pair of this similarity with the given probability, if each tree branches down one large place."""
-    once = similarity * (1 - (1 - similarity) ** BRANCHES)
-    return max(1, ceil(log(1 - recall) / log(1 - once)))
+    """Trees that find a pair of this similarity with the given probability, however often its places branch.
+
+    A pair survives a level of branching in one of its branches with a probability whose fixed point is that
+    of a branching process with one child, or two in ``BRANCHES - 1`` of the places.
+    """
+    second = (BRANCHES - 1) * similarity
+    alive = min(1.0, (similarity + second - 1) / (similarity * second)) if similarity * BRANCHES > 1 else 0.1
+    return min(TOKENS, max(1, ceil(log(1 - recall) / log(1 - similarity * max(alive, 0.1)))))
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -115,8 +119,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def leaf_edges(node: np.ndarray, rep: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each run of equal ``node``, the sets whose sketches agree in ``agree`` bytes."""
+def leaf_cells(node: np.ndarray, rep: np.ndarray, part: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the arrays, and the cell of each: sets of equal ``node`` that sketches connect.
+
+    Sketches of a pair have to agree in ``agree`` bytes; sets of equal ``part`` are linked already, and a cell
+    holds more than one part. A cell is named by its members, so that equal cells of several trees are one.
+    """
     new = np.ones(len(node), dtype=bool)
     new[1:] = node[1:] != node[:-1]
     head = np.flatnonzero(new)
@@ -128,14 +136,19 @@ def leaf_edges(node: np.ndarray, rep: np.ndarray, sketch: np.ndarray, agree: int
         count = place[lo:hi]
         left = np.repeat(np.arange(lo, hi), count)
         right = left - np.repeat(count, count) + ranges(count)
+        other = part[left] != part[right]
+        left, right = left[other], right[other]
         close = (sketch[left] == sketch[right]).sum(axis=1) >= agree
         a.append(left[close])
         b.append(right[close])
         lo = hi
     a, b = np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
     root = _roots(len(node), a, b)
-    far = np.flatnonzero(root != np.arange(len(node)))
-    return rep[far], rep[root[far]]
+    some = np.unique(np.concatenate((a, b)))
+    total = np.zeros(len(node), dtype=_U)
+    with np.errstate(over="ignore"):
+        np.add.at(total, root[some], mix(rep[some].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)))
+    return some, total[root[some]].view(np.int64)
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -158,72 +171,51 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def exact_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Components of sets linked when ``100 * intersection >= percent * union``: the first member of each.
-
-    Every set outside the largest component has been compared with all sets when this ends, so no link between
-    two components is left.
-    """
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of few sets: rare shingles by their pairs, frequent ones as a matrix product."""
     n = len(sets)
-    label = np.arange(n)
-    if n < 2:
-        return label
     size = np.array([len(s) for s in sets])
-    which = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.cumsum(size) - size
-    mark = np.zeros(which.max() + 1, dtype=bool)
-    compared = np.zeros(n, dtype=bool)
-    while True:
-        largest = np.bincount(label, minlength=n).argmax()
-        left = np.flatnonzero(~compared & (label != largest)) if compared.any() else np.zeros(1, np.int64)
-        if not len(left):
-            return label
-        k = left[0]
-        own = which[start[k] : start[k] + size[k]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[which], start)
-        mark[own] = False
-        compared[k] = True
-        joined = np.unique(label[100 * shared >= percent * (size[k] + size - shared)])
-        label[np.isin(label, joined)] = min(joined.min(), label[k])
-
-
-def cross_links(sets: list[np.ndarray], asks: np.ndarray, part: np.ndarray, main: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the sets that ask to those that don't, as places in ``sets``: enough to connect what is linked.
-
-    Sets of equal ``part`` are connected already and aren't compared, nor is a set once it is connected to
-    the part marked ``main``, whose own links are asked for by the sets outside it.
-    """
-    a, b = [], []
-    code = np.unique(part, return_inverse=True)[1]
-    label = np.arange(code.max(initial=-1) + 1)
-    home = code[main][0] if main.any() else None
+    _, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    out = np.zeros(n * n, dtype=np.int64)
+    order = np.argsort(which, kind="stable")
+    times = often[which[order]]
+    rare = owner[order][(times > 1) & (times <= 32)]
+    times = times[(times > 1) & (times <= 32)]
+    head = np.arange(len(rare)) - ranges(often[(often > 1) & (often <= 32)])
+    for lo in range(0, len(rare), 100_000):
+        count = times[lo : lo + 100_000]
+        out += np.bincount(np.repeat(rare[lo : lo + 100_000], count) * n + rare[np.repeat(head[lo : lo + 100_000], count) + ranges(count)], minlength=n * n)
+    out = out.reshape(n, n)
+    column = np.cumsum(often > 32) - 1
+    kept = often[which] > 32
+    row, col = owner[kept], column[which[kept]]
+    for lo in range(0, int(column[-1]) + 1, 2048):
+        here = (col >= lo) & (col < lo + 2048)
+        m = np.zeros((n, 2048), dtype=np.float32)
+        m[row[here], col[here] - lo] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def exact_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Components of sets linked when ``100 * intersection >= percent * union``: the first member of each."""
+    if len(sets) < 2:
+        return np.arange(len(sets))
     size = np.array([len(s) for s in sets])
-    others = np.flatnonzero(~asks)
-    others = others[np.argsort(size[others], kind="stable")]
-    if not len(others) or len(others) == len(sets):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which = np.unique(np.concatenate([sets[k] for k in [*others, *np.flatnonzero(asks)]]), return_inverse=True)[1]
-    start = np.append(0, np.cumsum(size[others]))
-    mark, at = np.zeros(which.max() + 1, dtype=bool), int(start[-1])
-    for k in np.flatnonzero(asks):
-        own, at = which[at : at + size[k]], at + size[k]
-        if home is not None and label[code[k]] == label[home]:
-            continue
-        lo, hi = np.searchsorted(100 * size[others], percent * size[k]), np.searchsorted(percent * size[others], 100 * size[k], "right")
-        near = others[lo:hi]
-        if not (label[code[near]] != label[code[k]]).any():
-            continue
-        mark[own] = True
-        shared = np.add.reduceat(mark[which[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
-        mark[own] = False
-        near = near[100 * shared >= percent * (size[k] + size[near] - shared)]
-        joined, first = np.unique(label[code[near]], return_index=True)
-        first = first[joined != label[code[k]]]
-        a += [k] * len(first)
-        b += near[first].tolist()
-        label[np.isin(label, joined)] = label[code[k]]
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    shared = intersections(sets)
+    a, b = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1))
+    return _roots(len(sets), a, b)
+
+
+def linked_to_first(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets are linked to the first."""
+    out = np.zeros(len(sets), dtype=bool)
+    for k, s in enumerate(sets):
+        if 100 * min(len(s), len(sets[0])) >= percent * max(len(s), len(sets[0])):
+            shared = len(np.intersect1d(s, sets[0], assume_unique=True))
+            out[k] = 100 * shared >= percent * (len(s) + len(sets[0]) - shared)
+    return out
 
 
 def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -236,60 +228,133 @@ def _combined(table: pa.Table, column: str) -> pa.Array:
     return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
 
 
-def candidates(reps: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
-    """Edges ``a``, ``b`` between sets that may reach ``similarity``, in tables that only have to connect them.
+class _Texts:
+    """The texts that sets come from, and their comparison on full sets."""
+
+    def __init__(self, keyed: DataFrame, reps: DataFrame, words: int, percent: int):
+        self.keyed, self.reps, self.words, self.percent = keyed, reps, words, percent
+
+    def _compare(self, rows: DataFrame, n_rows: int, star: bool) -> DataFrame:
+        """Links ``a``, ``b`` found in each ``cell`` of rows ``cell``, ``rep``, ``same`` and ``first``.
+
+        In a star only those to the set that comes first are looked for.
+        """
+        words, percent = self.words, self.percent
+        texts = self.keyed.join(if_small(rows.withColumnRenamed("rep", "doc_id"), n_rows), "doc_id")
+
+        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole_runs(batches, "cell"):
+                cell, ids, same = t.column("cell").to_numpy(), t.column("doc_id").to_numpy(), t.column("same")
+                cut = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    sets, at = _own_sets(_combined(t.slice(a, b - a), "text"), ids[a:b], same.slice(a, b - a).to_pylist(), words)
+                    own = ids[a:b][at]
+                    if star:
+                        root = np.zeros(len(own), dtype=np.int64)
+                        far = linked_to_first(sets, percent) & (own != own[:1])
+                    else:
+                        root = exact_roots(sets, percent)
+                        far = root != np.arange(len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[far], pa.int64()), pa.array(own[root[far]], pa.int64())], names=["a", "b"])
+
+        dealt = texts.repartition("cell").sortWithinPartitions("cell", F.desc("first"), "doc_id")
+        return materialize(dealt.select("cell", "doc_id", "same", "text").mapInArrow(confirm, "a long, b long"), "links")
+
+    def stars(self, pairs: DataFrame) -> DataFrame:
+        """Links among pairs ``rep``, ``pivot``, each in a ``chunk`` of the pivot's."""
+        cell = F.xxhash64("pivot", "chunk").alias("cell")
+        pairs = materialize(pairs, "asked")
+        rows = pairs.select("rep", cell, F.lit(False).alias("first")).union(pairs.select(F.col("pivot").alias("rep"), cell, F.lit(True).alias("first")).distinct())
+        return self._compare(rows.join(self.reps.select("rep", "same"), "rep"), 2 * pairs.count(), star=True)
+
+    def cells(self, members: DataFrame) -> DataFrame:
+        """Links that connect what is linked within cells, from rows ``cell``, ``rep``.
+
+        A cell with more sets or shingles than a task takes is dealt to blocks, and each pair of blocks is a cell.
+        """
+        rows = materialize(members.select("cell", "rep").distinct().join(self.reps.select("rep", "same", "n_shingles"), "rep"), "members")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n_shingles") / CELL_SHINGLES), F.lit(1))
+        sizes = materialize(rows.groupBy("cell").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+        sized = rows.join(if_small(sizes, sizes.count()), "cell", "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))
+        pairs = F.transform(others, lambda k: F.xxhash64("cell", F.least(k, "block"), F.greatest(k, "block")))
+        dealt = sized.select(F.explode(F.coalesce(pairs, F.array("cell"))).alias("cell"), "rep", "same", F.lit(False).alias("first"))
+        dealt = materialize(dealt, "dealt")
+        return self._compare(dealt, dealt.count(), star=False)
+
+
+def _own_sets(texts: pa.Array, ids: np.ndarray, same: list[bytes], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets of the rows that are the ones meant, each once, and their places."""
+    sets, at, seen = [], [], set()
+    for k, s in enumerate(_sets_of(texts, words)):
+        if (ids[k], same[k]) not in seen and hashlib.sha256(s.tobytes()).digest()[:16] == same[k]:
+            seen.add((ids[k], same[k]))
+            sets.append(s)
+            at.append(k)
+    return sets, np.array(at, dtype=np.int64)
+
+
+def _paths(node: Column, depth: int) -> Column:
+    """The places that a set with ``tokens`` goes to from a place, ``STRIDE`` tokens further."""
+    places = F.array(node)
+    for k in range(STRIDE):
+        token = lambda p, b: F.get("tokens", F.pmod(F.xxhash64(p, F.lit(b), F.lit(depth)), F.lit(TOKENS)).cast("int"))
+        step = lambda p, b: F.xxhash64(p, F.lit(b), token(p, b))
+        twice = lambda p, k=k: F.pmod(F.xxhash64(p, F.lit(depth), F.lit(k)), F.lit(1000)) < int(1000 * (BRANCHES - 1))
+        places = F.flatten(F.transform(places, lambda p: F.when(twice(p), F.array(step(p, 0), step(p, 1))).otherwise(F.array(step(p, 0)))))
+    return places
+
 
-    ``reps`` has ``rep``, ``tokens`` and ``sketch``. The margins below are those of the estimate from the tokens
-    (its standard deviation is about 0.05): a pair of the similarity aimed at lies above ``agree`` but for one
-    in some thousand per tree. A set at distance d from the pivot has partners within d plus the distance aimed
-    at, which is what ``settled`` and ``near`` rest on.
+def links(reps: DataFrame, texts: _Texts, similarity: float, recall: float = RECALL) -> DataFrame:
+    """Links ``a``, ``b`` between sets, confirmed on full sets, that connect what is linked.
 
-    Sets with equal tokens would take the same way down every tree, so the smallest of them stands for all.
+    ``reps`` has ``rep``, ``tokens`` and ``sketch``. Sketches have to agree in a share that lies five standard
+    deviations of their estimate below the similarity, so that they lose next to nothing. ``part`` names the
+    pivot that a set is linked to; sets of equal part needn't be compared, and a place that holds but one part
+    is done.
     """
-    distance = 1 - similarity
-    agree = int(TOKENS * (similarity - 0.19))
-    settled, near = int(TOKENS * (1 - 1.65 * distance)), int(TOKENS * (1 - 2.75 * distance))
-    hashed = reps.select("rep", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"))
-    heads = materialize(hashed.groupBy("h", "g").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("h", "g", "head"), "heads")
-    twins = materialize(hashed.join(if_small(heads, heads.count()), ["h", "g"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")), "twins")
-    reps = reps.join(if_small(twins.select(F.col("a").alias("rep")), twins.count()), "rep", "left_anti")
-    starts = F.array(*[F.xxhash64(F.lit(t), F.get("tokens", F.lit(t % TOKENS))) for t in range(trees(similarity, recall))])
-    level = reps.select("rep", F.explode(starts).alias("node"))
-    edges, depth = [twins], 0
+    agree = int(TOKENS * (similarity - 0.25))
+    starts = F.array(*[F.xxhash64(F.lit(t), F.get("tokens", F.lit(t))) for t in range(trees(similarity, recall))])
+    level = reps.select("rep", F.explode(starts).alias("node")).withColumn("part", F.lit(None).cast("bigint"))
+    edges, few, rest, depth = [], [], None, 0
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches, "node"):
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            a, b = leaf_edges(t.column("node").to_numpy(), t.column("rep").to_numpy(), sketch, agree)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rep, part = t.column("rep").to_numpy(), t.column("part").to_numpy()
+            at, cell = leaf_cells(t.column("node").to_numpy(), rep, part, sketch, agree)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(rep[at])], names=["cell", "rep"])
 
     while True:
-        places = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1"), "places")
+        parts = level.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lead"))
+        held = F.coalesce(F.max(F.when(F.col("part").isNotNull(), F.col("n"))), F.lit(0))
+        places = parts.groupBy("node").agg(F.sum("n").alias("n"), held.alias("held"), F.coalesce(F.min(F.when(F.col("part").isNull(), F.col("lead"))), F.min("lead"))["rep"].alias("pivot"))
+        free = F.col("n") - F.col("held")
+        large = (F.col("n") > LEAF) & ((free * F.col("n") > LEAF * LEAF) | (F.col("n") > 64 * LEAF))
+        places = materialize(places.where((F.col("n") > 1) & (free > 0)).select("node", "pivot", "n", large.alias("large")), "places")
         placed = materialize(level.join(places, "node"), "placed")
-        small = placed.where(F.col("n") <= LEAF).select("node", "rep").join(reps.select("rep", "sketch"), "rep")
-        found = small.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch").mapInArrow(leaves, "a long, b long")
-        edges.append(materialize(found, "edges"))
-        large = placed.where(F.col("n") > LEAF).select("node", "rep", "pivot")
-        pivots = places.where(F.col("n") > LEAF).select("pivot").distinct().join(reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
-        pivots = materialize(pivots, "pivots")
-        n_pivots = pivots.count()
-        if not n_pivots:
+        few.append(placed.where("not large").select("node", "rep", F.coalesce("part", "rep").alias("part")))
+        deep = placed.where("large").select("node", "rep", "part", "pivot", "n")
+        if deep.isEmpty():
             break
-        # Pivots of large places, one often serving several: few enough to be broadcast, or else a join that deals both sides anew.
-        few = n_pivots <= PIVOT_ROWS
-        whole = large.join(reps.select("rep", "tokens"), "rep")
-        whole = whole if few else materialize(whole, "large")
-        compared = whole.join(if_small(pivots, n_pivots, PIVOT_ROWS), "pivot").withColumn("alike", F.size(F.filter(F.zip_with("tokens", "pivot_tokens", lambda x, y: x == y), lambda x: x)))
-        compared = materialize(compared.select("node", "rep", "pivot", "alike", F.when(F.col("alike") < settled, F.col("tokens")).alias("tokens")), "compared")
-        edges.append(compared.where((F.col("alike") >= near) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         depth += 1
-        chosen = [F.pmod(F.xxhash64("node", F.lit(b), F.lit(depth)), F.lit(TOKENS)).cast("int") for b in range(BRANCHES)]
-        steps = F.array(*[F.xxhash64("node", c, F.get("tokens", c)) for c in chosen])
-        level = compared.where(F.col("alike") < settled).select("rep", F.explode(F.array_distinct(steps)).alias("node"))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
+        if depth > LEVELS:
+            rest = deep.select(F.col("node").alias("cell"), "rep")
+            break
+        pivots = places.where("large").select("pivot").distinct().join(reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK_SETS)).alias("chunk")
+        asked = deep.where("rep <> pivot").select("rep", "pivot", chunk).distinct().join(reps.select("rep", "tokens"), "rep").join(if_few(pivots, "pivot_tokens"), "pivot")
+        alike = F.size(F.filter(F.zip_with("tokens", "pivot_tokens", lambda x, y: x == y), lambda x: x))
+        star = texts.stars(asked.where(alike >= agree).select("rep", "pivot", "chunk"))
+        edges.append(star)
+        covered = star.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("covered")).distinct()
+        known = deep.join(if_small(covered, covered.count()), ["rep", "pivot"], "left")
+        known = known.select("node", "rep", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
+        level = known.join(reps.select("rep", "tokens"), "rep").select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
+    small = reduce(DataFrame.union, few).join(reps.select("rep", "sketch"), "rep")
+    found = small.repartition("node").sortWithinPartitions("node").select("node", "rep", "part", "sketch").mapInArrow(leaves, "cell long, rep long")
+    edges.append(texts.cells(found if rest is None else found.union(rest)))
+    return reduce(DataFrame.union, edges)
 
 
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
@@ -299,47 +364,24 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     ``100 * intersection >= percent * union``; a text with fewer words is one shingle. ``component_id`` is the
     smallest id reachable; ``kept`` tells whether it is the document's own. A null or empty text has no shingle
     and is linked with nothing, nor is a document whose id is null (its component is null, and it is kept).
-    Rows that repeat an id and a text share a component and are all kept or all not.
+    Rows that repeat an id and a text share a component and are all kept or all not; an id with several texts
+    has the links of all of them. Other columns are ignored. Ids are whole numbers; other types are refused.
     """
+    require_integral(docs, doc_id)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield profile(texts, words)
 
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     kind = "n_shingles long, same binary, tokens array<int>, sketch binary"
     profiles = materialize(keyed.select("doc_id", F.arrow_udf(scan, kind).asNondeterministic()("text").alias("p")).select("doc_id", "p.*"), "profiles")
     filled = profiles.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = filled.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     reps = materialize(reps, "reps")
-
-    coarse = materialize(components(candidates(reps, percent / 100, recall)).select(F.col("node").alias("rep"), F.col("component").alias("coarse")), "coarse")
-    groups = coarse.select("coarse").distinct().select(F.col("coarse").alias("rep"), "coarse").union(coarse.select("rep", "coarse"))
-    sized = groups.join(reps.select("rep", "n_shingles", "same"), "rep")
-    totals = sized.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
-    totals = materialize(totals.select("coarse", ((F.col("n") > GROUP_SETS) | (F.col("total") > GROUP_SHINGLES)).alias("big")), "totals")
-    members = materialize(sized.join(totals, "coarse").select("rep", "coarse", "same", "big", "n_shingles"), "members")
-    n_members = members.count()
-    texts = keyed.join(if_small(members.where("not big").select(F.col("rep").alias("doc_id"), "coarse", "same"), n_members), "doc_id")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches, "coarse"):
-            group, ids, same = t.column("coarse").to_numpy(), t.column("doc_id").to_numpy(), t.column("same")
-            cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield _edges(_combined(t.slice(a, b - a), "text"), ids[a:b], same.slice(a, b - a).to_pylist(), words, percent)
-
-    found = texts.repartition("coarse").sortWithinPartitions("coarse", "doc_id").select("coarse", "doc_id", "same", "text").mapInArrow(confirm, "a long, b long")
-    edges = materialize(found, "links")
-
-    big = members.where("big")
-    if not big.isEmpty():
-        tokens = big.join(reps.select("rep", "tokens"), "rep")
-        windows = _windows(keyed, tokens, n_members, words, percent)
-        edges = edges.union(windows).union(_finish(keyed, big, windows, n_members, words, percent))
-    final = components(edges)
+    final = components(links(reps, _Texts(keyed, reps, words, percent), percent / 100, recall))
     ids = reps.where("rep < last").select("rep", "same").withColumn("component_id", F.col("rep"))
-    linked = reps.select("rep", "same").join(if_small(final, n_members), F.col("rep") == F.col("node")).select("rep", "same", F.col("component").alias("component_id"))
+    linked = reps.select("rep", "same").join(if_small(final, final.count()), F.col("rep") == F.col("node")).select("rep", "same", F.col("component").alias("component_id"))
     moved = materialize(ids.union(linked).groupBy("same").agg(F.min("component_id").alias("component_id")), "moved")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     joined = profiles.select("doc_id", "n_shingles", "same").join(if_small(moved, moved.count()), "same", "left")
@@ -347,101 +389,6 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _edges(texts: pa.Array, ids: np.ndarray, same: list[bytes], words: int, percent: int) -> pa.RecordBatch:
-    """Edges from each set to the first of its component; rows whose set isn't the one meant, and repeated ones, fall out."""
-    sets, own = [], []
-    for k, s in enumerate(_sets_of(texts, words)):
-        if hashlib.sha256(s.tobytes()).digest()[:16] == same[k] and ids[k] not in own[-1:]:
-            sets.append(s)
-            own.append(ids[k])
-    own = np.array(own, dtype=np.int64)
-    root = exact_roots(sets, percent)
-    far = root != np.arange(len(own))
-    return pa.RecordBatch.from_arrays([pa.array(own[far], pa.int64()), pa.array(own[root[far]], pa.int64())], names=["a", "b"])
-
-
-def _windows(keyed: DataFrame, members: DataFrame, n_members: int, words: int, percent: int) -> DataFrame:
-    """Links within large coarse groups: full comparison in overlapping windows along several orders of tokens.
-
-    Sets that share minwise tokens stand together; within equal tokens any window of a dense group links its
-    sets, and windows overlap by half, so each order connects a dense group along its whole length.
-    """
-    at = [F.struct(F.lit(order).alias("order"), *[F.get("tokens", F.lit((order * 3 + k + 17) % TOKENS)).alias(f"t{k}") for k in range(3)]) for order in range(ORDERS)]
-    ranked = members.select(F.col("rep").alias("doc_id"), "coarse", "same", "n_shingles", F.explode(F.array(*at)).alias("at")).select("doc_id", "coarse", "same", "n_shingles", "at.*")
-    rows = keyed.join(if_small(ranked, ORDERS * n_members), "doc_id")
-    keys = ["order", "coarse", "t0", "t1", "t2", "doc_id"]
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _overlapping(batches):
-            yield _edges(_combined(t, "text"), t.column("doc_id").to_numpy(), t.column("same").to_pylist(), words, percent)
-
-    found = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("order", "coarse", "doc_id", "same", "n_shingles", "text").mapInArrow(confirm, "a long, b long")
-    return materialize(found, "windows")
-
-
-def _finish(keyed: DataFrame, members: DataFrame, windows: DataFrame, n_members: int, words: int, percent: int) -> DataFrame:
-    """Links between the components that the windows left in large coarse groups.
-
-    Every set outside the largest component of its group is compared with all sets of the group, as
-    :func:`exact_roots` does within one task. The former are dealt to blocks, all of them to chunks, and each
-    pair of a block and a chunk is a cell of bounded size.
-    """
-    known = components(windows).select(F.col("node").alias("rep"), "component")
-    parts = members.join(if_small(known, n_members), "rep", "left").select("rep", "coarse", "same", "n_shingles", F.coalesce("component", "rep").alias("part"))
-    parts = materialize(parts, "parts")
-    sizes = parts.groupBy("coarse", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
-    rank = F.struct("n", "part")
-    groups = sizes.groupBy("coarse").agg(F.max_by("part", rank).alias("largest"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("n").alias("most"), F.max_by("total", rank).alias("held")).where("n > most")
-    cells = lambda n, total: F.greatest(F.ceil(n / CELL_SETS), F.ceil(total / CELL_SHINGLES)).cast("int")
-    n, total = F.col("n"), F.col("total")
-    groups = materialize(groups.select("coarse", "largest", cells(n - F.col("most"), total - F.col("held")).alias("blocks"), cells(n, total).alias("chunks")), "left")
-    deal = lambda of, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), of).cast("int")
-    dealt = parts.join(if_small(groups, groups.count()), "coarse").withColumns({"block": deal(F.col("blocks"), 2), "chunk": deal(F.col("chunks"), 3)})
-    dealt = dealt.select(F.col("rep").alias("doc_id"), "coarse", "same", "part", (F.col("part") == F.col("largest")).alias("main"), "block", "chunk", "blocks", "chunks")
-    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.col("chunk"), F.lit(False).alias("asks")))
-    asking = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.col("block"), k.alias("chunk"), F.lit(True).alias("asks")))
-    rows = keyed.join(if_small(dealt, n_members), "doc_id")
-    rows = rows.select("doc_id", "coarse", "same", "part", "main", "text", F.explode(F.when(F.col("main"), all_).otherwise(F.concat(all_, asking))).alias("at")).select("*", "at.*").drop("at")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, same = t.column("doc_id").to_numpy(), t.column("same").to_pylist()
-        asks, part, main = (t.column(c).to_numpy() for c in ("asks", "part", "main"))
-        sets, at, seen = [], [], set()
-        for k, s in enumerate(_sets_of(_combined(t, "text"), words)):
-            if hashlib.sha256(s.tobytes()).digest()[:16] == same[k] and (ids[k], asks[k]) not in seen:
-                seen.add((ids[k], asks[k]))
-                sets.append(s)
-                at.append(k)
-        at = np.array(at, dtype=np.int64)
-        a, b = cross_links(sets, asks[at], part[at], main[at], percent)
-        return pa.Table.from_arrays([pa.array(ids[at[a]], pa.int64()), pa.array(ids[at[b]], pa.int64())], names=["a", "b"])
-
-    return materialize(rows.groupBy("coarse", "block", "chunk").applyInArrow(compare, "a long, b long"), "finished")
-
-
-def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Windows of rows of one order and coarse group, each overlapping half of the one before."""
-    held: pa.Table | None = None
-    fresh = 0
-    for batch in batches:
-        for k in range(0, batch.num_rows, 100):
-            part = pa.Table.from_batches([batch.slice(k, 100)])
-            order, groups = part.column("order").to_numpy(), part.column("coarse").to_numpy()
-            cut = np.append(np.flatnonzero(np.append(True, (groups[1:] != groups[:-1]) | (order[1:] != order[:-1]))), len(groups))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                piece = part.slice(a, b - a)
-                if held is not None and any(held.column(c)[0] != piece.column(c)[0] for c in ("order", "coarse")):
-                    yield held
-                    held, fresh = None, 0
-                held = piece if held is None else pa.concat_tables([held, piece])
-                fresh += piece.num_rows
-                if held.num_rows >= 400 or sum(held.column("n_shingles").to_pylist()) > GROUP_SHINGLES:
-                    yield held
-                    held, fresh = held.slice(held.num_rows // 2), 0
-    if held is not None and fresh:
-        yield held
-
-
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. Options as for :func:`link`."""
     gone = link(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
