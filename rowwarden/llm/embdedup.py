@@ -2,28 +2,35 @@
 
 Equal vectors are one node. Vectors are dealt to shards; each shard gets a graph whose layers are nested
 subsets, built from the top down: vectors enter a layer in batches, are searched from what the layer above
-found, and keep diverse neighbours. Every block of queries searches every shard. A beam in which everything
-reaches the threshold is widened; so are all beams of a block if an audit, which compares some queries with
-the whole shard, misses links. Links are verified by cosine in double precision.
+found, and keep diverse neighbours. All queries stream past every shard: a task opens one graph, whose size is
+bounded in bytes, and holds one batch of queries. A query whose widened beam is full of links is compared with
+the whole shard; all beams of a batch are widened if an audit, which compares some queries with the whole
+shard, misses links. Links are verified by cosine in double precision.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import if_small, materialize
+from ._shared import if_small, materialize, require_integral
 from .graphs import components
 
 DEGREE, SPARE, BEAM, BATCH = 16, 8, 64, 256
-#: Shards; more once a shard would exceed ``SHARD_ROWS`` vectors, which is what a task must hold.
-SHARDS, SHARD_ROWS = 6, 500_000
-#: Queries of a block, queries of a block that are audited, and the mean share of its links that a query with links must find.
+#: Shards; more once a shard would exceed ``SHARD_BYTES`` of vectors, which is what a task must hold, a few times over.
+SHARDS, SHARD_BYTES = 6, 96 << 20
+#: Tasks that share the queries of a shard, each with a copy of its graph, and bytes of a piece of a graph.
+SPLITS, PIECE = 4, 16 << 20
+#: Queries of a batch, queries of a batch that are audited, and the mean share of its links that a query with links must find.
 BLOCK_ROWS, AUDITED, AUDIT_RECALL = 8192, 128, 0.99
+#: Queries that are compared at once.
+CHUNK = 512
 #: Links of a query within a shard up to which it is also audited among those with few.
 FEW = 16
 
@@ -46,6 +53,7 @@ class Graph:
     def __init__(self, vectors: np.ndarray, seed: int = 0):
         self.vectors = np.ascontiguousarray(vectors, dtype=np.float32)
         n = len(vectors)
+        self._seen = np.zeros(0, dtype=bool)
         level = np.floor(-np.log(np.random.default_rng(seed).uniform(1e-9, 1, n)) / np.log(DEGREE)).astype(int)
         self.layers: list[np.ndarray] = []
         self.entry = int(level.argmax()) if n else 0
@@ -134,12 +142,15 @@ class Graph:
     def _search(self, q: np.ndarray, start: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search in one layer: ids and similarities in falling order, ``-1`` and ``-inf`` where there are fewer."""
         n, rows = len(self.vectors), len(q)
-        seen = np.zeros(rows * n, dtype=bool)
+        if len(self._seen) < rows * n:
+            self._seen = np.zeros(rows * n, dtype=bool)
+        seen, touched = self._seen, []
         ids = np.full((rows, beam), -1, dtype=np.int64)
         sims = np.full((rows, beam), -np.inf, dtype=np.float32)
         ids[:, : start.shape[1]] = start
         sims[:, : start.shape[1]] = np.einsum("rkd,rd->rk", self.vectors[start], q)
-        seen[(np.arange(rows)[:, None] * n + start).ravel()] = True
+        touched.append((np.arange(rows)[:, None] * n + start).ravel())
+        seen[touched[0]] = True
         open_ = np.isfinite(sims)
         active = np.arange(rows)
         step = np.arange(min(4, beam))
@@ -156,6 +167,7 @@ class Graph:
             fresh = ~seen[flat]
             flat = np.unique(flat[fresh])
             seen[flat] = True
+            touched.append(flat)
             row, ident = flat // n, flat % n
             s = np.einsum("kd,kd->k", self.vectors[ident], q[row])
             count = np.bincount(row, minlength=rows)
@@ -171,24 +183,30 @@ class Graph:
                 best = np.argsort(-value, axis=1, kind="stable")[:, :beam]
                 ids[active], sims[active], open_[active] = (np.take_along_axis(x, best, 1) for x in (wide, value, fresh_open))
             active = active[open_[active].any(axis=1)]
+        for flat in touched:  # only these: clearing all of it would take time in proportion to the shard
+            seen[flat] = False
         return ids, sims
 
     def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the ids found with at least this similarity; beams are widened as long as they are full of them."""
+        """For each query the ids found with at least this similarity.
+
+        A beam that is full of them is widened once, and then gives way to a comparison with all vectors.
+        """
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         n = len(self.vectors)
         todo = np.arange(len(q))
-        while len(todo):
+        for width in (beam, 4 * beam, n):
             again = []
-            width = max(1, min(BATCH, 40_000_000 // max(n, 1)))
-            for k in range(0, len(todo), width):
-                rows = todo[k : k + width]
-                ids, sims = (self._search(q[rows], self._descend(q[rows]), self.layers[-1], beam)) if beam < n else self._all(q[rows])
+            step = max(1, min(BATCH, 40_000_000 // max(n, 1)))
+            for k in range(0, len(todo), step):
+                rows = todo[k : k + step]
+                ids, sims = (self._search(q[rows], self._descend(q[rows]), self.layers[-1], width)) if width < n else self._all(q[rows])
                 good = sims >= least
-                for row, i, g in zip(rows, ids, good, strict=True):
+                full = good.all(axis=1) & (width < n)
+                for row, i, g in zip(rows[~full], ids[~full], good[~full], strict=True):
                     out[row] = i[g]
-                again.append(rows[good.all(axis=1)] if beam < n else rows[:0])
-            todo, beam = np.concatenate(again), beam * 4
+                again.append(rows[full])
+            todo = np.concatenate([*again, np.zeros(0, np.int64)]).astype(np.int64)
         return out
 
     def _all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,36 +217,60 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def search_block(graph: Graph, raw: np.ndarray, ids: np.ndarray, copies: np.ndarray, q_raw: np.ndarray, q_ids: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each query to vectors of one shard, with their copies, and edges that connect what is linked."""
-    own, q = _unit(raw), _unit(q_raw)
-    q32 = q.astype(np.float32)
-    least, beam = threshold - 1e-4, BEAM
-    audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-    truth = ((q[audit] @ own.T) >= threshold) & (ids[None, :] != q_ids[audit][:, None])
-    total = truth.sum(axis=1)
-    # Queries of a large cluster, which find their links easily, don't speak for those with few links.
-    kinds = [k for k in (total > 0, (total > 0) & (total <= FEW)) if k.any()]
-    while True:
-        got = graph.within(q32[audit], least, beam)
-        recall = np.array([truth[k, got[k]].sum() for k in range(len(audit))]) / np.maximum(total, 1)
-        if all(recall[k].mean() >= AUDIT_RECALL for k in kinds) or beam >= len(raw):
-            break
-        beam *= 2
-    found = graph.within(q32, least, beam)
-    count = np.array([len(f) for f in found])
-    row, at = np.repeat(np.arange(len(q)), count), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
-    true = np.zeros(len(row), dtype=bool)
-    for k in range(0, len(row), 100_000):
-        s = slice(k, k + 100_000)
-        true[s] = np.einsum("kd,kd->k", q[row[s]], own[at[s]]) >= threshold
-    true &= q_ids[row] != ids[at]
-    row, at = row[true], at[true]
-    links = np.bincount(row, weights=copies[at], minlength=len(q)).astype(np.int64)
-    # A forest: the smallest node of each component within this block and shard.
-    nodes, code = np.unique(np.concatenate((q_ids[row], ids[at])), return_inverse=True)
-    a, b = code[: len(row)], code[len(row) :]
-    root = np.arange(len(nodes))
+class Shard:
+    """A graph with its vectors, and what is known of the components of its vectors so far."""
+
+    def __init__(self, raw: np.ndarray, ids: np.ndarray, copies: np.ndarray, graph: Graph | None = None):
+        self.own, self.ids, self.copies = _unit(raw), ids, copies
+        self.graph = graph or Graph(self.own)
+        self.root = np.arange(len(ids))
+
+    def search(self, q_raw: np.ndarray, q_ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of each query to vectors of the shard, with their copies, and edges that connect what is linked."""
+        q = _unit(q_raw)
+        q32 = q.astype(np.float32)
+        least, beam = threshold - 1e-4, BEAM
+        audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
+        truth = ((q[audit] @ self.own.T) >= threshold) & (self.ids[None, :] != q_ids[audit][:, None])
+        total = truth.sum(axis=1)
+        # Queries of a large cluster, which find their links easily, don't speak for those with few links.
+        kinds = [k for k in (total > 0, (total > 0) & (total <= FEW)) if k.any()]
+        while kinds:
+            got = self.graph.within(q32[audit], least, beam)
+            recall = np.array([truth[k, got[k]].sum() for k in range(len(audit))]) / np.maximum(total, 1)
+            if all(recall[k].mean() >= AUDIT_RECALL for k in kinds) or beam >= len(self.ids):
+                break
+            beam *= 2
+        links, a, b = np.zeros(len(q), dtype=np.int64), [], []
+        for lo in range(0, len(q), CHUNK):
+            part = np.arange(lo, min(lo + CHUNK, len(q)))
+            found = self.graph.within(q32[part], least, beam)
+            count = np.array([len(f) for f in found])
+            row, at = np.repeat(part, count), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+            true = np.zeros(len(row), dtype=bool)
+            for k in range(0, len(row), 100_000):
+                s = slice(k, k + 100_000)
+                true[s] = np.einsum("kd,kd->k", q[row[s]], self.own[at[s]]) >= threshold
+            true &= q_ids[row] != self.ids[at]
+            row, at = row[true], at[true]
+            links[part] = np.bincount(row - lo, weights=self.copies[at], minlength=len(part)).astype(np.int64)
+            # A query and the components it meets become one; an edge for the query and for each component that joins.
+            met = np.unique(np.stack((row, self.root[at])), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+            labels, code = np.unique(met[1], return_inverse=True)
+            queries, asks = np.unique(met[0], return_inverse=True)
+            top = _roots(len(labels) + len(queries), code, asks + len(labels))
+            moved = np.flatnonzero(top[: len(labels)] != np.arange(len(labels)))
+            a += [q_ids[queries], self.ids[labels[moved]]]
+            b += [self.ids[labels[top[len(labels) :]]], self.ids[labels[top[moved]]]]
+            new = np.arange(len(self.root))
+            new[labels] = labels[top[: len(labels)]]
+            self.root = new[self.root]
+        return links, np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of the component of each of ``n`` nodes."""
+    root = np.arange(n)
     while len(a):
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -238,54 +280,76 @@ def search_block(graph: Graph, raw: np.ndarray, ids: np.ndarray, copies: np.ndar
         if np.array_equal(new, root):
             break
         root = new
-    far = np.flatnonzero(root != np.arange(len(nodes)))
-    return links, list(zip(nodes[far].tolist(), nodes[root[far]].tolist(), strict=True))
+    return root
 
 
 def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, shards: int = SHARDS) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every vector, for links of cosine ``threshold`` or more.
 
-    Vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing, and
-    so do those whose id is null or whose length differs from the most frequent one. Rows that repeat an id and
-    a vector count as several vectors and share a component. An empty table gives an empty result.
+    Vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing, nor do
+    those whose id is null or vectors of different lengths. Rows that repeat an id and a vector count as several
+    vectors and share a component. An empty table gives an empty result. Other columns are ignored. Ids are
+    whole numbers; other types are refused.
+
+    Every query visits every shard of its length: shuffled are the queries once per shard and each graph
+    ``SPLITS`` times, so the work grows with the input for as long as ``shards`` of bounded size hold it, and
+    with its product with the number of shards beyond.
     """
+    require_integral(vectors, vec_id)
     e = F.col("v")
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    valid = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf"))
-    rows = materialize(rows.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("same", F.when(F.col("valid"), F.sha2(F.array_join("v", ",").cast("binary"), 256))), "vectors")
-    sizes = rows.where("valid").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = sizes["d"] if sizes else 0
-    good = rows.where(F.col("valid") & (F.size("v") == dims))
-    reps = materialize(good.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "reps")
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    most = F.array_max(F.transform(e, F.abs))
+    finite = e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & (most > 0) & (most < float("inf"))
+    # A power of two brings components whose squares leave the range of doubles back into it, exactly.
+    scale = F.pow(F.lit(2.0), -F.floor(F.log2(most)))
+    rows = rows.withColumn("valid", F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False)))
+    rows = rows.withColumn("v", F.when(F.col("valid") & ~most.between(1e-100, 1e100), F.transform(e, lambda x: x * scale)).otherwise(e))
+    rows = materialize(rows.withColumn("same", F.when(F.col("valid"), F.sha2(F.array_join("v", ",").cast("binary"), 256))), "vectors")
+    reps = materialize(rows.where("valid").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "reps")
     n = reps.count()
-    shards = max(shards, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    dealt = reps.select("rep", "copies", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    sizes = reps.groupBy(F.size("v").alias("d")).agg(F.greatest(F.lit(shards), F.ceil(F.count(F.lit(1)) * F.size(F.first("v")) * 8 / SHARD_BYTES)).cast("int").alias("shards"))
+    sizes = materialize(sizes, "sizes")
+    sized = reps.join(if_small(sizes, sizes.count()), F.size("v") == F.col("d"))
+    shard_of = lambda k: F.xxhash64("d", k.cast("int"))
+    dealt = sized.select("rep", "copies", "v", shard_of(F.pmod(F.xxhash64("rep"), F.col("shards"))).alias("shard"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         raw = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-        body = pickle.dumps((Graph(_unit(raw)), raw, pdf["rep"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
-        return pd.DataFrame({"shard": [key[0]], "graph": [body]})
-
-    graphs = materialize(dealt.groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = dealt.select("rep", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def search(key: tuple, graph: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(graph) or not len(block):
-            return pd.DataFrame({"rep": [], "links": [], "to": []}).astype("int64")
-        g, raw, ids, copies = pickle.loads(graph["graph"].iloc[0])  # written by build() above
-        block = block.sort_values("rep")
-        q_ids = block["rep"].to_numpy()
-        links, edges = search_block(g, raw, ids, copies, np.array(block["v"].tolist(), dtype=np.float64), q_ids, threshold)
-        some = links > 0
-        a, b = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
-        return pd.DataFrame({"rep": np.append(q_ids[some], a), "links": np.append(links[some], np.zeros(len(a), np.int64)), "to": np.append(q_ids[some], b)})
-
-    found = graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "rep long, links long, to long")
-    found = materialize(found, "found")
+        graph = Graph(_unit(raw))
+        graph.vectors, graph._seen = None, None  # made anew from ``raw``
+        body = pickle.dumps((graph, raw, pdf["rep"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
+        pieces = [body[k : k + PIECE] for k in range(0, len(body), PIECE)]
+        return pd.DataFrame({"shard": key[0], "piece": range(len(pieces)), "graph": pieces})
+
+    graphs = materialize(dealt.groupBy("shard").applyInPandas(build, "shard long, piece int, graph binary"), "graphs")
+    none = F.lit(None)
+    copies = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), "piece", "graph", none.cast("bigint").alias("rep"), none.cast("array<double>").alias("v"))
+    every = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), shard_of)
+    asking = sized.select(F.explode(every).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SPLITS)).cast("int").alias("split"), F.lit(2**31 - 1).alias("piece"), none.cast("binary").alias("graph"), "rep", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[bytes] = []
+        shard: Shard | None = None
+        for batch in batches:
+            graphs_here = batch.column("graph").null_count < batch.num_rows
+            queries = np.flatnonzero(np.array(batch.column("rep").is_valid()))
+            at = 0
+            if graphs_here:
+                for k in np.flatnonzero(np.array(batch.column("graph").is_valid())):
+                    if batch.column("piece")[k].as_py() == 0:
+                        if k > at and shard is not None or pieces and k > at:
+                            shard, pieces = _loaded(shard, pieces)
+                            yield from _asked(shard, batch, queries[(queries >= at) & (queries < k)], threshold)
+                        shard, pieces, at = None, [], k
+                    pieces.append(batch.column("graph")[k].as_py())
+            rest = queries[queries >= at]
+            if len(rest):
+                shard, pieces = _loaded(shard, pieces)
+                yield from _asked(shard, batch, rest, threshold)
+
+    dealt_out = copies.union(asking).repartition("shard", "split").sortWithinPartitions("shard", "split", "piece", "rep")
+    found = materialize(dealt_out.mapInArrow(search, "rep long, links long, to long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.where("links = 0").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     per_rep = reps.select("rep", "same", "copies").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -293,3 +357,24 @@ def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
     joined = rows.select("vec_id", "same").join(if_small(moved, n), "same", "left")
     component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _loaded(shard: Shard | None, pieces: list[bytes]) -> tuple[Shard, list[bytes]]:
+    """The shard that the pieces make up, if it isn't there yet."""
+    if shard is None:
+        graph, raw, ids, copies = pickle.loads(b"".join(pieces))  # written by build() of this job
+        graph.vectors, graph._seen = np.ascontiguousarray(_unit(raw), dtype=np.float32), np.zeros(0, dtype=bool)
+        shard = Shard(raw, ids, copies, graph)
+    return shard, []
+
+
+def _asked(shard: Shard, batch: pa.RecordBatch, at: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of counts, and rows of edges with no links, for the queries at these places of a batch."""
+    for lo in range(0, len(at), BLOCK_ROWS):
+        some = batch.take(pa.array(at[lo : lo + BLOCK_ROWS]))
+        q_ids, v = some.column("rep").to_numpy(), some.column("v")
+        q = v.flatten().to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
+        links, a, b = shard.search(q, q_ids, threshold)
+        yes = links > 0
+        columns = (np.append(q_ids[yes], a), np.append(links[yes], np.zeros(len(a), np.int64)), np.append(q_ids[yes], b))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["rep", "links", "to"])

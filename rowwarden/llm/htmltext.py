@@ -1,42 +1,49 @@
-"""Main text of web pages by structure and by differences between neighbouring pages.
+"""Main text of web pages by differences between neighbouring pages, with marked template left out.
 
-A page is read into lines of text, one per block. Pages of a host are put in order of URL path, and each is
-paired with its neighbours there; their lines are aligned by longest common subsequence, and lines that both
-share are deleted as template. Two things limit that rule, because it alone gives wrong results. Parts of
-the template that differ from page to page, such as menus, are recognised by their element, role or class.
-And lines inside an article element are kept even if a neighbour shares them: articles repeat passages too.
+A page is read into lines of text, one per block. Pages of a host are put in order of URL path, equal ones
+once; the lines of a page are aligned with those of its neighbours by longest common subsequence, and lines
+that neighbours share are deleted as template. Two things limit that rule, because it alone gives wrong
+results. Template that differs from page to page, such as menus of links, is recognised by its element, role
+or class. And lines inside an article element are kept even if neighbours share them: articles repeat too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import free_name
+from ._shared import if_small, materialize
 
 # Elements whose content isn't text, elements of the template, elements that hold the article,
-# elements inside a line of text, elements without content, and words of class, id or role that mark template.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea datalist button".split())
+# elements inside a line of text, elements without content, words of class and id that mark template, words that
+# may stand beside those, words of reader comments, and roles that mark template.
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select textarea datalist button".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msqrt msub msup mfrac mtext meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+BESIDE = frozenset("site page main top bottom left right box bar block list section area container wrapper inner outer primary secondary global posts articles links link buttons button item items content text".split())
+COMMENTS = frozenset("comment comments reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.IGNORECASE)
-_WORDS = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|[\s/]*=")
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.IGNORECASE) for n in ("script", "style", "textarea", "title", "noscript", "iframe")}
+_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Share of its lines above which two pages count as copies, which show nothing about the template.
-COPY = 0.8
+#: Neighbours on either side, and how many of all of them have to share a line for it to be template.
+REACH, WITNESSES = 2, 2
 
 
 @dataclass
@@ -45,83 +52,176 @@ class Line:
     article: bool
 
 
-def _noisy(name: str, attributes: str) -> bool:
-    if name in CHROME:
+@dataclass
+class _Element:
+    """An open element: its place above, and what its tag says."""
+
+    name: str
+    above: _Element | None
+    marked: bool = False  # as template, unless it holds an article
+    silent: bool = False
+    holds: bool = False  # an article or main element below it
+    gone: bool | None = None
+    article: bool = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.article = self.name in MAIN or self.above is not None and self.above.article
+
+    def left_out(self) -> bool:
+        """Whether this or an element above is silent or marked; each element is looked at once."""
+        path: list[_Element] = []
+        at: _Element | None = self
+        while at is not None and at.gone is None:
+            path.append(at)
+            at = at.above
+        gone = at is not None and bool(at.gone)
+        for x in reversed(path):
+            gone = x.gone = gone or x.silent or x.marked and not x.holds
+        return gone
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """``("text", text, {})``, ``("open", name, attributes)`` and ``("close", name, {})`` in page order, in linear time."""
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], {}
+            return
+        if lt > at:
+            yield "text", page[at:lt], {}
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            end = n if end < 0 else end
+            yield "text", html.escape(page[lt + 9 : end], quote=False), {}
+            at = end + 3
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        elif m := _NAME.match(page, lt):
+            name, closing, attributes, at = m.group(1).lower(), page[lt + 1] == "/", {}, m.end()
+            while at < n and page[at] != ">":
+                if not (m := _ATTRIBUTE.match(page, at)):
+                    at += 1
+                    continue
+                at = m.end()
+                if m.group(1):
+                    attributes.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+            at += 1
+            yield ("close" if closing else "open"), name, attributes
+            if not closing and name in _RAW:
+                end = _RAW[name].search(page, at)
+                at = end.start() if end else n
+        else:
+            yield "text", "&lt;", {}
+            at = lt + 1
+
+
+def _noise(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the class names or ids consists of words that mark template and words that may stand beside them."""
+    for name in names.lower().split():
+        found = _WORDS.findall(name)
+        if found and any(w in words for w in found) and all(w in words or w in BESIDE for w in found):
+            return True
+    return False
+
+
+def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is marked as template; ``inside`` an article its own headers aren't."""
+    if name in MAIN:
+        return _noise(attributes.get("class", ""), COMMENTS)
+    if name in CHROME and not (inside and name == "header"):
         return True
     if not attributes or name in ("html", "body"):
         return False
-    if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes):
+    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if (m := _ROLE.search(attributes)) and m.group(1).lower() in ROLES:
+    if attributes.get("role", "").lower() in ROLES:
         return True
-    return any(w.lower() in NOISE for m in _MARK.finditer(attributes) for w in _WORDS.findall(m.group(1) or m.group(2) or m.group(3) or ""))
+    words = NOISE - {"header"} if inside else NOISE
+    return _noise(attributes.get("class", ""), words) or _noise(attributes.get("id", ""), words)
 
 
 def lines(page: str | None) -> list[Line]:
-    """Lines of visible text outside recognised template, in page order, with white space made single blanks.
+    """Lines of visible text outside marked template, in page order, with white space made single blanks.
 
-    Headers inside an article are kept only as far as they hold headings: the header element of an article
-    is part of it.
+    Marks by class, id or role, and forms and headers, don't count on an element that holds an article.
     """
-    out: list[Line] = []
-    if not page:
-        return out
-    stack: list[tuple[str, bool, bool]] = []  # element, silent, in an article
-    piece: list[str] = []
-    at, silent, article = 0, False, False
+    top = _Element("", None)
+    here, out, piece = top, [], []  # out: raw text of a block and its element
+    opened: Counter[str] = Counter()
+
+    def back(to: _Element) -> None:
+        """Closes all elements below ``to``."""
+        nonlocal here
+        while here is not to:
+            opened[here.name] -= 1
+            here = here.above
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
-        piece.clear()
-        if text:
-            out.append(Line(text, article))
-
-    for m in _TAG.finditer(page):
-        if not silent and m.start() > at:
-            piece.append(page[at : m.start()])
-        at = m.end()
-        name = (m.group(4) or "").lower()
-        if not name:
-            if m.group(2) and not silent:
-                piece.append(html.escape(m.group(2), quote=False))
+        if piece:
+            out.append(("".join(piece), here))
+            piece.clear()
+
+    for kind, value, attributes in _tokens(page or ""):
+        if kind == "text":
+            piece.append(value)
             continue
-        if name not in INLINE and not silent:
-            flush()
-        elif name in INLINE and m.group(3) == "" and not silent and _noisy(name, m.group(5)):
+        name = value
+        if name not in INLINE:
             flush()
         if name in VOID:
             continue
-        if m.group(3):
-            places = [k for k, (n, _, _) in enumerate(stack) if n == name]
-            if places:
-                if not silent:
-                    flush_needed = stack[places[-1]][1] != silent
-                    if flush_needed:
-                        flush()
-                del stack[places[-1] :]
-        else:
-            if name == "p" or name == "li" or name == "tr" or name == "td":
-                # These end where the next of their kind begins.
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if all(n in INLINE for n, _, _ in stack[k + 1 :]):
-                            del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            outer_silent, outer_article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            head = name == "header" and outer_article
-            hidden = outer_silent or name in SILENT or (not head and name not in MAIN and _noisy(name, m.group(5) or ""))
-            if not m.group(5).rstrip().endswith("/") or name not in ("svg", "path"):
-                stack.append((name, hidden, outer_article or name in MAIN))
-        silent, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    if not silent:
-        piece.append(page[at:])
+        if kind == "close":
+            at: _Element | None = here if opened[name] else None
+            while at is not None and at.name != name:
+                at = at.above
+            if at is not None:
+                if name in INLINE and (here.marked or at.marked or here.silent):
+                    flush()
+                elif any_block(here, at):
+                    flush()
+                back(at.above)
+            continue
+        if name in ("p", "li", "tr", "td"):
+            # These end where the next of their kind begins.
+            at = here
+            while at is not None and at.name in INLINE and at.name:
+                at = at.above
+            if at is not None and at.name == name:
+                back(at.above)
+        new = _Element(name, here, _marked(name, attributes, here.article), name in SILENT)
+        if name in INLINE and (new.marked or new.silent):
+            flush()
+        if name in MAIN and not new.marked:
+            at = here
+            while at is not None and not at.holds:
+                at.holds = at.name not in ("nav", "footer", "aside", "menu", "dialog")
+                at = at.above
+        here = new
+        opened[name] += 1
     flush()
-    return out
+    shown = []
+    for raw, element in out:
+        text = _SPACE.sub(" ", html.unescape(raw)).strip()
+        if text and not element.left_out():
+            shown.append(Line(text, element.article))
+    return shown
+
 
+def any_block(here: _Element, at: _Element) -> bool:
+    """Whether an element from ``here`` up to ``at`` ends a line."""
+    while here is not at:
+        if here.name not in INLINE:
+            return True
+        here = here.above
+    return False
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence of ``a`` and ``b``, after equal beginnings and ends."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -134,13 +234,11 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     x = [k for k in range(lo, len(a) - hi) if a[k] in common]
     y = [k for k in range(lo, len(b) - hi) if b[k] in common]
     # Lengths by Hunt and Szymanski: for each length, the last place in b that ends one.
-    places: dict[str, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for k in reversed(y):
         places.setdefault(b[k], []).append(k)
     ends: list[int] = []
     nodes: list[tuple[int, object]] = []
-    from bisect import bisect_left
-
     for k in x:
         for p in places[a[k]]:
             n = bisect_left(ends, p)
@@ -157,59 +255,59 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[Line], neighbours: list[list[str]]) -> str:
-    """The lines of a page that no neighbour shares, and those of its article, joined by blanks."""
-    own = [x.text for x in page]
-    template: set[int] = set()
-    if not all(x.article for x in page):
-        for other in neighbours:
-            found = shared_lines(own, other)
-            if len(found) <= COPY * min(len(own), len(other)):
-                template |= found
-    return " ".join(x.text for k, x in enumerate(page) if x.article or k not in template)
+def template_lines(own: list, neighbours: list[list]) -> list[int]:
+    """Places of the lines that ``WITNESSES`` neighbours share, or the only neighbour there is, in order."""
+    times = np.zeros(len(own), dtype=int)
+    for other in neighbours:
+        times[list(shared_lines(own, other))] += 1
+    return np.flatnonzero(times >= max(1, min(WITNESSES, len(neighbours)))).tolist()
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", text: str = "html", into: str = "text") -> DataFrame:
     """``page_id``, ``url`` and ``into``, the main text of every page.
 
-    Pages are range-partitioned by host, path and id, which splits a large host over tasks; a page is compared
-    with the page before and the page after it on the same host, or with one of them at the edge of a range.
-    Null or empty HTML has an empty text, a null URL the host and path of an empty one. Every row gives one row.
+    Pages of a host are ordered by path; those with equal lines stand once, at their first path. A page is
+    compared with the ``REACH`` pages on either side: their places in the order of all pages are known, so
+    that neighbours meet in a join and no host is one task, and partitions don't matter. A line that only one
+    of several neighbours shares stays: that neighbour may be a near copy. Three or more near copies in a row
+    that have no article element lose the lines they share.
+
+    Null or empty HTML has an empty text, a null URL the host and path of an empty one. Every row gives one
+    row, repeated ones too. Time is linear in the length of a page but for the alignment of lines. Other
+    columns are ignored, whatever their names.
     """
     rest = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host, path = (free_name(pages, x) for x in ("_host", "_path"))
-    keyed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(text).alias("html"), F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # host, lines as text
-        held: tuple | None = None  # host, lines, id, url
-
-        def settle(page: tuple, after: tuple | None) -> str:
-            near = [x[1] for x in (before, after) if x is not None and x[0] == page[0]]
-            return main_text(page[1], near)
-
-        for batch in batches:
-            ids, urls, texts = [], [], []
-            for i, u, h, s in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column(host).to_pylist(), batch.column("html"), strict=True):
-                page = (h, lines(s.as_py()), i, u)
-                plain = (h, [x.text for x in page[1]])
-                if held is not None:
-                    ids.append(held[2])
-                    urls.append(held[3])
-                    texts.append(settle(held, plain))
-                    before = (held[0], [x.text for x in held[1]])
-                held = page
-            yield _batch(batch.schema, ids, urls, texts, into)
-        if held is not None:
-            kinds = pa.schema([("page_id", id_kind), ("url", pa.string())])
-            yield _batch(kinds, [held[2]], [held[3]], [settle(held, None)], into)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_kind = to_arrow_type(keyed.schema["page_id"].dataType)
-    ranged = keyed.repartitionByRange(host, path, "page_id").sortWithinPartitions(host, path, "page_id")
-    return ranged.mapInArrow(run, f"page_id {keyed.schema['page_id'].dataType.simpleString()}, url string, {into} string")
-
-
-def _batch(schema: pa.Schema, ids: list, urls: list, texts: list, into: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, schema.field("page_id").type), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", into])
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages_ in batches:
+            texts, articles, hashes = [], [], []
+            for s in pages_:
+                found = lines(s.as_py())
+                texts.append([x.text for x in found])
+                articles.append([x.article for x in found])
+                hashes.append([xxhash.xxh64_intdigest(x.text) - 2**63 for x in found])
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.list_(pa.string())), pa.array(articles, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], names=["texts", "articles", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            drop = [template_lines(own, near) for own, near in zip(t.column("hashes").to_pylist(), t.column("near").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("host"), t.column("sig"), pa.array(drop, pa.list_(pa.int32()))], names=["host", "sig", "drop"])
+
+    host, path = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path")
+    parsed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host, path, F.arrow_udf(read, "texts array<string>, articles array<boolean>, hashes array<long>").asNondeterministic()(F.col(text)).alias("l"))
+    parsed = materialize(parsed.select("page_id", "url", "host", "path", "l.*", F.struct(F.xxhash64("l.hashes").alias("a"), F.xxhash64(F.lit(1), "l.hashes").alias("b")).alias("sig")), "lines")
+    distinct = parsed.where(F.size("hashes") > 0).groupBy("host", "sig").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.min(F.array_min(F.transform("articles", lambda x: x.cast("int")))).alias("closed"))
+    order = distinct.repartitionByRange("host", "path", "sig").sortWithinPartitions("host", "path", "sig").withColumn("at", F.monotonically_increasing_id())
+    order = materialize(order, "order")
+    part = F.shiftright("at", 33).alias("part")
+    counts = order.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    placed = order.join(F.broadcast(before), part == before["part"]).select("host", "sig", "hashes", "closed", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("pos"))
+    wanted = placed.where("closed = 0")
+    asked = wanted.select("host", F.explode(F.array(*[F.col("pos") + d for d in range(-REACH, REACH + 1) if d])).alias("pos"), F.col("pos").alias("of"))
+    near = asked.join(placed.select("host", "pos", F.col("hashes")), ["host", "pos"]).groupBy("host", F.col("of").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hashes"))), lambda x: x["hashes"]).alias("near"))
+    met = wanted.join(near, ["host", "pos"]).select("host", "sig", "hashes", "near")
+    drop = materialize(met.mapInArrow(compare, "host string, sig struct<a:long,b:long>, drop array<int>").where(F.size("drop") > 0), "template")
+    found = parsed.join(if_small(drop, drop.count(), 200_000), ["host", "sig"], "left")
+    kept = F.filter(F.col("texts"), lambda x, k: F.get("articles", k) | ~F.coalesce(F.array_contains("drop", k), F.lit(False)))
+    return found.select("page_id", "url", F.array_join(kept, " ").alias(into))
