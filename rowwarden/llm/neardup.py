@@ -3,7 +3,7 @@
 Every text becomes the set of its word shingles; equal sets are one node from there on. A tree starts with a
 minwise token per set and puts the sets that share it in one place. A place with few sets is compared
 exhaustively: sketches tell which of its sets may be linked, and these are compared on full sets. A larger
-place is first compared with a pivot, also on full sets, and then branches along one or two further minwise
+place is first compared with a pivot, the set that seems most central, also on full sets, and then branches along one or two further minwise
 tokens that it selects. Sets that are linked already through a pivot go along, but only to meet sets that
 aren't. Independent trees repeat this until the recall aimed at is reached.
 
@@ -30,10 +30,16 @@ from .graphs import components
 TOKENS = 64
 #: Sets of a place that are compared exhaustively: their sketches take 64 KB.
 LEAF = 1024
-#: Tokens that a larger place selects on average: one, and a second one in half of the places.
-BRANCHES = 1.5
-#: Tokens along which a place branches before its sets meet the next pivot.
-STRIDE = 3
+#: Tokens that a larger place selects on average: one, and a second one in a quarter of the places. The reciprocal
+#: of the similarity keeps a pair of that similarity together in one branch on average, and no set in many more.
+BRANCHES = 1.25
+#: Levels of branching that the number of trees reckons with.
+DEPTH = 10
+#: Sets of a large place whose tokens tell what its centre is.
+VOTERS = 128
+#: Tokens along which a place branches before its sets meet the next pivot: one at first, where most sets part at
+#: once, and more from the third level on, where few are left and each level costs as many jobs.
+STRIDES = (1, 1, 3)
 #: Sets and shingles that one task compares in full; of a larger cell, each pair of blocks is a task.
 CELL_SETS, CELL_SHINGLES = 1024, 1_000_000
 #: Sets of a chunk of a large place that one task compares with the pivot.
@@ -41,7 +47,7 @@ CHUNK_SETS = 256
 #: Levels after which a place that its tokens don't split is compared in full without sketches.
 LEVELS = 24
 #: Recall of links that the number of trees is chosen for.
-RECALL = 0.9999
+RECALL = 0.999
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -50,14 +56,14 @@ _TURN = (_rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * _U(2) + _U(1))[:, No
 
 
 def trees(similarity: float, recall: float = RECALL) -> int:
-    """Trees that find a pair of this similarity with the given probability, however often its places branch.
+    """Trees that find a pair of this similarity with the given probability, through ``DEPTH`` levels of branching.
 
-    A pair survives a level of branching in one of its branches with a probability whose fixed point is that
-    of a branching process with one child, or two in ``BRANCHES - 1`` of the places.
+    A branch keeps the pair with the similarity as probability; the pair survives a level if any branch keeps it.
     """
-    second = (BRANCHES - 1) * similarity
-    alive = min(1.0, (similarity + second - 1) / (similarity * second)) if similarity * BRANCHES > 1 else 0.1
-    return min(TOKENS, max(1, ceil(log(1 - recall) / log(1 - similarity * max(alive, 0.1)))))
+    alive = 1.0
+    for _ in range(DEPTH):
+        alive = 1 - (1 - similarity * alive) * (1 - (BRANCHES - 1) * similarity * alive)
+    return min(TOKENS, max(1, ceil(log(1 - recall) / log(1 - similarity * alive))))
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -294,10 +300,28 @@ def _own_sets(texts: pa.Array, ids: np.ndarray, same: list[bytes], words: int) -
     return sets, np.array(at, dtype=np.int64)
 
 
+def _alike(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def _centres(deep: DataFrame) -> DataFrame:
+    """``node``, ``pivot`` and ``pivot_tokens``: of each place the set that agrees most with the commonest tokens.
+
+    The tokens are counted over some ``VOTERS`` sets of a place. Sets not linked to a pivot yet come first. If
+    the sets of a place derive from one of them, it is the one that all are linked to.
+    """
+    votes = deep.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / VOTERS)) == 0).select("node", F.posexplode("tokens").alias("at", "token"))
+    votes = votes.groupBy("node", "at", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("node", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    common = votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("m"))
+    common = common.select("node", F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda k: F.try_element_at("m", k)).alias("common"))
+    met = deep.join(common, "node", "left").withColumn("rank", F.struct(F.col("part").isNull(), F.coalesce(_alike("tokens", "common"), F.lit(0)), F.xxhash64("rep"), "rep"))
+    return met.groupBy("node").agg(F.max(F.struct("rank", "rep", "tokens")).alias("best")).select("node", F.col("best.rep").alias("pivot"), F.col("best.tokens").alias("pivot_tokens"))
+
+
 def _paths(node: Column, depth: int) -> Column:
-    """The places that a set with ``tokens`` goes to from a place, ``STRIDE`` tokens further."""
+    """The places that a set with ``tokens`` goes to from a place, some tokens further."""
     places = F.array(node)
-    for k in range(STRIDE):
+    for k in range(STRIDES[min(depth, len(STRIDES)) - 1]):
         token = lambda p, b: F.get("tokens", F.pmod(F.xxhash64(p, F.lit(b), F.lit(depth)), F.lit(TOKENS)).cast("int"))
         step = lambda p, b: F.xxhash64(p, F.lit(b), token(p, b))
         twice = lambda p, k=k: F.pmod(F.xxhash64(p, F.lit(depth), F.lit(k)), F.lit(1000)) < int(1000 * (BRANCHES - 1))
@@ -326,31 +350,31 @@ def links(reps: DataFrame, texts: _Texts, similarity: float, recall: float = REC
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(rep[at])], names=["cell", "rep"])
 
     while True:
-        parts = level.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lead"))
+        parts = level.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
         held = F.coalesce(F.max(F.when(F.col("part").isNotNull(), F.col("n"))), F.lit(0))
-        places = parts.groupBy("node").agg(F.sum("n").alias("n"), held.alias("held"), F.coalesce(F.min(F.when(F.col("part").isNull(), F.col("lead"))), F.min("lead"))["rep"].alias("pivot"))
+        places = parts.groupBy("node").agg(F.sum("n").alias("n"), held.alias("held"))
         free = F.col("n") - F.col("held")
         large = (F.col("n") > LEAF) & ((free * F.col("n") > LEAF * LEAF) | (F.col("n") > 64 * LEAF))
-        places = materialize(places.where((F.col("n") > 1) & (free > 0)).select("node", "pivot", "n", large.alias("large")), "places")
+        places = materialize(places.where((F.col("n") > 1) & (free > 0)).select("node", "n", large.alias("large")), "places")
         placed = materialize(level.join(places, "node"), "placed")
         few.append(placed.where("not large").select("node", "rep", F.coalesce("part", "rep").alias("part")))
-        deep = placed.where("large").select("node", "rep", "part", "pivot", "n")
+        deep = placed.where("large").select("node", "rep", "part", "n").join(reps.select("rep", "tokens"), "rep")
         if deep.isEmpty():
             break
         depth += 1
         if depth > LEVELS:
             rest = deep.select(F.col("node").alias("cell"), "rep")
             break
-        pivots = places.where("large").select("pivot").distinct().join(reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
+        centres = materialize(_centres(deep), "centres")
+        deep = deep.join(if_few(centres, "pivot_tokens"), "node")
         chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK_SETS)).alias("chunk")
-        asked = deep.where("rep <> pivot").select("rep", "pivot", chunk).distinct().join(reps.select("rep", "tokens"), "rep").join(if_few(pivots, "pivot_tokens"), "pivot")
-        alike = F.size(F.filter(F.zip_with("tokens", "pivot_tokens", lambda x, y: x == y), lambda x: x))
-        star = texts.stars(asked.where(alike >= agree).select("rep", "pivot", "chunk"))
+        asked = deep.where((F.col("rep") != F.col("pivot")) & (_alike("tokens", "pivot_tokens") >= agree))
+        star = texts.stars(asked.select("rep", "pivot", chunk).distinct())
         edges.append(star)
         covered = star.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("covered")).distinct()
         known = deep.join(if_small(covered, covered.count()), ["rep", "pivot"], "left")
-        known = known.select("node", "rep", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
-        level = known.join(reps.select("rep", "tokens"), "rep").select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
+        known = known.select("node", "rep", "tokens", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
+        level = known.select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
     small = reduce(DataFrame.union, few).join(reps.select("rep", "sketch"), "rep")
     found = small.repartition("node").sortWithinPartitions("node").select("node", "rep", "part", "sketch").mapInArrow(leaves, "cell long, rep long")
     edges.append(texts.cells(found if rest is None else found.union(rest)))

@@ -61,10 +61,10 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_large_coarse_groups_keep_their_links(spark, folder, monkeypatch):
-    """Groups over the limit of one task are compared in windows and give the same components."""
+    """Cells over the limit of one task are compared in pairs of blocks and give the same components."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     want = {tuple(r) for r in neardup.link(docs, words=2).collect()}
-    monkeypatch.setattr(neardup, "GROUP_SETS", 1)
+    monkeypatch.setattr(neardup, "CELL_SETS", 1)
     assert {tuple(r) for r in neardup.link(docs, words=2).collect()} == want
 
 
