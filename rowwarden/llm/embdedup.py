@@ -329,24 +329,20 @@ def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
     asking = sized.select(F.explode(every).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SPLITS)).cast("int").alias("split"), F.lit(2**31 - 1).alias("piece"), none.cast("binary").alias("graph"), "rep", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[bytes] = []
-        shard: Shard | None = None
+        held, pieces, shard = None, [], None  # which shard and split, its graph in pieces, and the graph
         for batch in batches:
-            graphs_here = batch.column("graph").null_count < batch.num_rows
-            queries = np.flatnonzero(np.array(batch.column("rep").is_valid()))
-            at = 0
-            if graphs_here:
-                for k in np.flatnonzero(np.array(batch.column("graph").is_valid())):
-                    if batch.column("piece")[k].as_py() == 0:
-                        if k > at and shard is not None or pieces and k > at:
-                            shard, pieces = _loaded(shard, pieces)
-                            yield from _asked(shard, batch, queries[(queries >= at) & (queries < k)], threshold)
-                        shard, pieces, at = None, [], k
-                    pieces.append(batch.column("graph")[k].as_py())
-            rest = queries[queries >= at]
-            if len(rest):
-                shard, pieces = _loaded(shard, pieces)
-                yield from _asked(shard, batch, rest, threshold)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "split")])
+            cut = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))), batch.num_rows) if batch.num_rows else np.zeros(0, int)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if held != (key := tuple(keys[:, a])):
+                    held, pieces, shard = key, [], None
+                part = batch.slice(a, b - a)
+                n = part.num_rows - part.column("graph").null_count
+                pieces += part.column("graph").slice(0, n).to_pylist()  # pieces come before queries
+                if n < part.num_rows and (pieces or shard):  # a shard without vectors has no graph
+                    if shard is None:
+                        shard, pieces = _loaded(pieces), []
+                    yield from _asked(shard, part.slice(n), threshold)
 
     dealt_out = copies.union(asking).repartition("shard", "split").sortWithinPartitions("shard", "split", "piece", "rep")
     found = materialize(dealt_out.mapInArrow(search, "rep long, links long, to long"), "found")
@@ -359,19 +355,16 @@ def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _loaded(shard: Shard | None, pieces: list[bytes]) -> tuple[Shard, list[bytes]]:
-    """The shard that the pieces make up, if it isn't there yet."""
-    if shard is None:
-        graph, raw, ids, copies = pickle.loads(b"".join(pieces))  # written by build() of this job
-        graph.vectors, graph._seen = np.ascontiguousarray(_unit(raw), dtype=np.float32), np.zeros(0, dtype=bool)
-        shard = Shard(raw, ids, copies, graph)
-    return shard, []
+def _loaded(pieces: list[bytes]) -> Shard:
+    graph, raw, ids, copies = pickle.loads(b"".join(pieces))  # written by build() of this job
+    graph.vectors, graph._seen = np.ascontiguousarray(_unit(raw), dtype=np.float32), np.zeros(0, dtype=bool)
+    return Shard(raw, ids, copies, graph)
 
 
-def _asked(shard: Shard, batch: pa.RecordBatch, at: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows of counts, and rows of edges with no links, for the queries at these places of a batch."""
-    for lo in range(0, len(at), BLOCK_ROWS):
-        some = batch.take(pa.array(at[lo : lo + BLOCK_ROWS]))
+def _asked(shard: Shard, batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of counts, and rows of edges with no links, for the queries of a batch."""
+    for lo in range(0, batch.num_rows, BLOCK_ROWS):
+        some = batch.slice(lo, BLOCK_ROWS)
         q_ids, v = some.column("rep").to_numpy(), some.column("v")
         q = v.flatten().to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
         links, a, b = shard.search(q, q_ids, threshold)
