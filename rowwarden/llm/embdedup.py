@@ -187,20 +187,17 @@ class Graph:
             seen[flat] = False
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the ids found with at least this similarity.
-
-        A beam that is full of them is widened once, and then gives way to a comparison with all vectors.
-        """
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+    def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray | None]:
+        """For each query the ids found with at least this similarity, or None if even its widened beam is full of them."""
+        out: list[np.ndarray | None] = [None] * len(q)
         n = len(self.vectors)
         todo = np.arange(len(q))
-        for width in (beam, 4 * beam, n):
+        for width in (beam, 4 * beam) if beam < n else (n,):
             again = []
             step = max(1, min(BATCH, 40_000_000 // max(n, 1)))
             for k in range(0, len(todo), step):
                 rows = todo[k : k + step]
-                ids, sims = (self._search(q[rows], self._descend(q[rows]), self.layers[-1], width)) if width < n else self._all(q[rows])
+                ids, sims = self._search(q[rows], self._descend(q[rows]), self.layers[-1], width) if width < n else self._all(q[rows])
                 good = sims >= least
                 full = good.all(axis=1) & (width < n)
                 for row, i, g in zip(rows[~full], ids[~full], good[~full], strict=True):
@@ -237,7 +234,7 @@ class Shard:
         kinds = [k for k in (total > 0, (total > 0) & (total <= FEW)) if k.any()]
         while kinds:
             got = self.graph.within(q32[audit], least, beam)
-            recall = np.array([truth[k, got[k]].sum() for k in range(len(audit))]) / np.maximum(total, 1)
+            recall = np.array([total[k] if got[k] is None else truth[k, got[k]].sum() for k in range(len(audit))]) / np.maximum(total, 1)
             if all(recall[k].mean() >= AUDIT_RECALL for k in kinds) or beam >= len(self.ids):
                 break
             beam *= 2
@@ -245,14 +242,15 @@ class Shard:
         for lo in range(0, len(q), CHUNK):
             part = np.arange(lo, min(lo + CHUNK, len(q)))
             found = self.graph.within(q32[part], least, beam)
-            count = np.array([len(f) for f in found])
-            row, at = np.repeat(part, count), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
-            true = np.zeros(len(row), dtype=bool)
-            for k in range(0, len(row), 100_000):
-                s = slice(k, k + 100_000)
-                true[s] = np.einsum("kd,kd->k", q[row[s]], self.own[at[s]]) >= threshold
-            true &= q_ids[row] != self.ids[at]
-            row, at = row[true], at[true]
+            full = np.array([f is None for f in found])
+            count = np.array([0 if f is None else len(f) for f in found])
+            row, at = np.repeat(part, count), np.concatenate([*(f for f in found if f is not None), np.zeros(0, np.int64)]).astype(np.int64)
+            true = np.einsum("kd,kd->k", q[row], self.own[at]) >= threshold
+            # Queries of a dense cluster: all cosines by one matrix product.
+            some, dense = np.nonzero(q[part[full]] @ self.own.T >= threshold) if full.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            row, at = np.append(row[true], part[full][some]), np.append(at[true], dense)
+            other = q_ids[row] != self.ids[at]
+            row, at = row[other], at[other]
             links[part] = np.bincount(row - lo, weights=self.copies[at], minlength=len(part)).astype(np.int64)
             # A query and the components it meets become one; an edge for the query and for each component that joins.
             met = np.unique(np.stack((row, self.root[at])), axis=1) if len(row) else np.zeros((2, 0), np.int64)

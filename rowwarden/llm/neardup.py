@@ -365,15 +365,17 @@ def links(reps: DataFrame, texts: _Texts, similarity: float, recall: float = REC
         if depth > LEVELS:
             rest = deep.select(F.col("node").alias("cell"), "rep")
             break
+        deep = materialize(deep, "large")
         centres = materialize(_centres(deep), "centres")
-        deep = deep.join(if_few(centres, "pivot_tokens"), "node")
+        met = deep.join(if_few(centres, "pivot_tokens"), "node").withColumn("near", _alike("tokens", "pivot_tokens") >= agree).drop("pivot_tokens")
         chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK_SETS)).alias("chunk")
-        asked = deep.where((F.col("rep") != F.col("pivot")) & (_alike("tokens", "pivot_tokens") >= agree))
-        star = texts.stars(asked.select("rep", "pivot", chunk).distinct())
+        star = texts.stars(met.where((F.col("rep") != F.col("pivot")) & F.col("near")).select("rep", "pivot", chunk).distinct())
         edges.append(star)
+        # Only a set that was compared with the pivot can be linked to it; the others needn't meet the links.
         covered = star.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("covered")).distinct()
-        known = deep.join(if_small(covered, covered.count()), ["rep", "pivot"], "left")
-        known = known.select("node", "rep", "tokens", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
+        near = met.where("near").join(if_small(covered, covered.count()), ["rep", "pivot"], "left")
+        near = near.select("node", "rep", "tokens", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
+        known = near.union(met.where("not near").select("node", "rep", "tokens", "part"))
         level = known.select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
     small = reduce(DataFrame.union, few).join(reps.select("rep", "sketch"), "rep")
     found = small.repartition("node").sortWithinPartitions("node").select("node", "rep", "part", "sketch").mapInArrow(leaves, "cell long, rep long")
