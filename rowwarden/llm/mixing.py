@@ -15,7 +15,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import free_name
+from ._shared import free_name, if_small, materialize
 
 #: Rows that one range of keys should hold.
 RANGE_ROWS = 256
@@ -53,41 +53,53 @@ def targets(totals: DataFrame, *, weights: Sequence[float], share: float, repeat
     )
 
 
-def mix(docs: DataFrame, *, source: str = "source", size: Column | None = None, key: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` in a struct column ``mix``.
+def mix(docs: DataFrame, *, source: str = "source", size: Column | None = None, key: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, range_rows: int = RANGE_ROWS, into: str = "mix") -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` in a struct column ``into``, which replaces one of that name.
 
     ``size`` defaults to the words of ``text``, ``key`` to the MD5 of ``doc_id`` (null as empty). Documents are
     taken in order of key until their source's budget is spent: whole epochs first, then the part below the
     rest, the last document in part. ``taken`` never exceeds ``repeat`` times ``size`` and adds up to the whole
-    part of the target. Equal keys are ordered by size; rows that agree in both may change places, which
-    changes nothing but which of two equal rows is cut. Without rows, or with no words, nothing is taken.
+    part of the target. Equal keys are ordered by size; rows that agree in both are taken alike, so that of m
+    rows at the cut fewer than m words are left. A null text has no words and a null source is a source like
+    the others. Without rows, or with no words, nothing is taken.
+
+    Only sums move: per range of keys, and in each source's range at the cut per key and size. The documents
+    themselves meet one row per source and aren't shuffled as long as that table is small.
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if key is None else key
-    s, k, r = (free_name(docs, x) for x in ("_size", "_key", "_range"))
-    src = free_name(docs, "_source")
-    rows = docs.count()
-    digits = 1 if rows <= range_rows else min(16, ceil(log(rows / range_rows, 16)))
-    sized = docs.withColumn(s, size).withColumn(k, key).withColumn(r, F.substring(k, 1, digits))
+    s, k, src, plan_ = (free_name(docs, x) for x in ("_size", "_key", "_source", "_plan"))
     # Null is a source like the others; a struct compares equal where a null wouldn't.
-    sized = sized.withColumn(src, F.struct(F.col(source).isNull().alias("absent"), F.coalesce(F.col(source), F.lit("")).alias("name")))
-    ranges = sized.groupBy(F.col(src).alias("_s"), F.col(r).alias("_r")).agg(F.sum(s).alias("_sum")).withColumn("_c", F.substring("_r", 1, (digits + 1) // 2))
+    named = lambda c: F.struct(c.isNull().alias("absent"), F.coalesce(c, F.lit("")).alias("name"))
+    narrow = docs.select(named(F.col(source)).alias("s"), size.cast("long").alias("n"), key.alias("k"))
+    rows = narrow.count()
+    digits = 1 if rows <= range_rows else min(16, ceil(log(rows / range_rows, 16)))
+    narrow = narrow.withColumn("r", F.substring("k", 1, digits))
+    ranges = narrow.groupBy("s", "r").agg(F.sum("n").alias("sum")).withColumn("c", F.substring("r", 1, (digits + 1) // 2))
+    ranges = materialize(ranges, "ranges")
     below = Window.unboundedPreceding, -1
-    coarse = ranges.groupBy("_s", "_c").agg(F.sum("_sum").alias("_csum"))
-    totals = coarse.groupBy("_s").agg(F.sum("_csum").alias("total"))
-    coarse = coarse.withColumn("_cbefore", F.coalesce(F.sum("_csum").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(*below)), F.lit(0).cast("long")))
-    fine = F.coalesce(F.sum("_sum").over(Window.partitionBy("_s", "_c").orderBy("_r").rowsBetween(*below)), F.lit(0).cast("long"))
-    ranges = ranges.withColumn("_fine", fine).join(coarse.drop("_csum"), ["_s", "_c"]).withColumn("_before", F.col("_cbefore") + F.col("_fine"))
-    named = totals.select(F.when(~F.col("_s.absent"), F.col("_s.name")).alias("source"), "total", "_s")
-    budgets = targets(named.select("source", "total"), weights=weights, share=share, repeat=repeat)
-    budgets = budgets.select(F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")).alias("_bs"), F.col("total").alias("_total"), F.col("target").alias("_target"))
-    plan = ranges.join(budgets, F.col("_s") == F.col("_bs")).select("_s", "_r", "_before", "_total", "_target")
-    joined = sized.join(plan, (F.col(src) == F.col("_s")) & (F.col(r) == F.col("_r")))
-    inside = Window.partitionBy(src, r).orderBy(k, s).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.col("_before") + F.sum(s).over(inside) - F.col(s)
-    whole = F.floor("_target").cast("long")
-    epochs = F.when(F.col("_total") > 0, F.floor(whole / F.col("_total"))).otherwise(0).cast("long")
-    rest = whole - epochs * F.col("_total")
-    taken = epochs * F.col(s) + F.greatest(F.lit(0).cast("long"), F.least(F.col(s), rest - start))
-    result = joined.withColumn("mix", F.struct(F.col(s).alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken")))
-    return result.select(*docs.columns, "mix")
+    zero = F.lit(0).cast("long")
+    coarse = ranges.groupBy("s", "c").agg(F.sum("sum").alias("csum"))
+    totals = coarse.groupBy("s").agg(F.sum("csum").alias("total"))
+    coarse = coarse.select("s", "c", F.coalesce(F.sum("csum").over(Window.partitionBy("s").orderBy("c").rowsBetween(*below)), zero).alias("cbefore"))
+    fine = F.coalesce(F.sum("sum").over(Window.partitionBy("s", "c").orderBy("r").rowsBetween(*below)), zero)
+    ranges = ranges.withColumn("fine", fine).join(coarse, ["s", "c"]).withColumn("before", F.col("cbefore") + F.col("fine"))
+    budgets = targets(totals.select(F.when(~F.col("s.absent"), F.col("s.name")).alias("source"), "total"), weights=weights, share=share, repeat=repeat)
+    whole = F.floor("target").cast("long")
+    epochs = F.when(F.col("total") > 0, F.floor(whole / F.col("total"))).otherwise(0).cast("long")
+    budgets = budgets.select(named(F.col("source")).alias("s"), "total", "target", epochs.alias("epochs"), (whole - epochs * F.col("total")).alias("rest"))
+    budgets = materialize(budgets, "budgets")
+    n_sources = budgets.count()
+    cut = ranges.join(if_small(budgets, n_sources), "s").where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("sum"))).select("s", "r", "before", "rest")
+    cut = materialize(cut, "cuts")
+    at_cut = narrow.join(if_small(cut, n_sources), ["s", "r"]).groupBy("s", "k", "n", "before", "rest").agg(F.count(F.lit(1)).alias("m"))
+    start = F.col("before") + F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("s").orderBy("k", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") * F.col("m")
+    last = at_cut.withColumn("start", start).where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("n") * F.col("m")))
+    last = last.select("s", F.struct("k", "n").alias("last"), F.floor((F.col("rest") - F.col("start")) / F.col("m")).cast("long").alias("part"))
+    plan = materialize(budgets.join(last, "s", "left").select(F.col("s").alias(src), F.struct("total", "target", "epochs", "last", "part").alias(plan_)), "plan")
+    sized = docs.withColumn(s, size.cast("long")).withColumn(k, key).withColumn(src, named(F.col(source))).join(if_small(plan, n_sources), src)
+    p, own = F.col(plan_), F.struct(F.col(k).alias("k"), F.col(s).alias("n"))
+    rest = F.when(own < p["last"], F.col(s)).when(own == p["last"], p["part"]).otherwise(zero)
+    result = F.struct(F.col(s).alias("size"), p["total"].alias("source_size"), p["target"].alias("target"), (p["epochs"] * F.col(s) + rest).alias("taken"))
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    return sized.select(*kept, result.alias(into))
