@@ -31,13 +31,21 @@ def _seconds(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column)
 
 
 def iso8601(c: Column) -> Column:
-    """Time and offset are mandatory; lower-case t and z, second 60, ``+05:`` and ``-0800`` pass."""
-    part = [F.regexp_extract(c, _ISO, k) for k in range(1, 11)]
-    at = _seconds(*[_int(p) for p in part[:6]])
-    oh, om = _int(part[8]), _int(part[9])
-    offset = F.when(part[7] == "-", -1).otherwise(1) * (oh * 3600 + om * 60)
-    fraction = F.coalesce(F.concat(F.lit("0"), part[6]).try_cast("double"), F.lit(0.0))
-    return F.when(c.rlike(_ISO) & (oh <= 23) & (om <= 59), (at - offset).cast("double") + fraction)
+    """Time and offset are mandatory; lower-case t and z, second 60, ``+05:`` and ``-0800`` pass.
+
+    One match tells the shape; up to the seconds all parts stand at fixed places.
+    """
+    part = lambda at, n: _int(F.substring(c, at, n))
+    at = _seconds(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2))
+    rest = F.substring(c, 20, 2**31 - 1)
+    utc = F.upper(F.right(rest, F.lit(1))) == "Z"
+    zone = F.when(~utc, F.regexp_extract(rest, r"[+-][\d:]+\z", 0)).otherwise("")
+    minutes = _int(F.right(F.replace(zone, F.lit(":"), F.lit("")), F.lit(2)))
+    minutes = F.when(F.length(zone) >= 5, minutes).otherwise(0)
+    hours = _int(F.substring(zone, 2, 2))
+    offset = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+    fraction = F.when(F.startswith(rest, F.lit(".")), F.concat(F.lit("0"), F.regexp_extract(rest, r"^\.\d+", 0)).try_cast("double")).otherwise(0.0)
+    return F.when(c.rlike(_ISO) & (hours <= 23) & (minutes <= 59), (at - offset).cast("double") + fraction)
 
 
 def unix_seconds(c: Column) -> Column:
@@ -53,19 +61,18 @@ def unix_millis(c: Column) -> Column:
 def http_date(c: Column) -> Column:
     """IMF-fixdate of exactly 29 characters, the obsolete form with a two-digit year (pivot 70), or asctime."""
     month = "(" + "|".join(MONTHS) + ")"
-    number = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("int")
-    fix = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), (\d{{2}}) {month} (\d{{4}}) (\d{{2}}):(\d{{2}}):(\d{{2}}) GMT\z"
-    old = rf"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, (\d{{2}})-{month}-(\d{{2}}) (\d{{2}}):(\d{{2}}):(\d{{2}}) GMT\z"
-    asc = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) {month} ([ \d]\d) (\d{{2}}):(\d{{2}}):(\d{{2}}) (\d{{4}})\z"
-    g = lambda p, k: F.regexp_extract(c, p, k)
-    i = lambda p, k: _int(F.trim(g(p, k)))
-    yy = i(old, 3)
-    forms = (
-        (fix, _seconds(i(fix, 3), number(g(fix, 2)), i(fix, 1), i(fix, 4), i(fix, 5), i(fix, 6))),
-        (old, _seconds(yy + F.when(yy >= 70, 1900).otherwise(2000), number(g(old, 2)), i(old, 1), i(old, 4), i(old, 5), i(old, 6))),
-        (asc, _seconds(i(asc, 6), number(g(asc, 1)), i(asc, 2), i(asc, 3), i(asc, 4), i(asc, 5))),
-    )
-    return F.coalesce(*[F.when(c.rlike(p), at.cast("double")) for p, at in forms])
+    number = lambda m: F.floor((F.position(m, F.lit("".join(MONTHS))) + 2) / 3).cast("int")
+    fix = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{{2}} {month} \d{{4}} \d{{2}}:\d{{2}}:\d{{2}} GMT\z"
+    old = rf"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, \d{{2}}-{month}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}} GMT\z"
+    asc = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) {month} [ \d]\d \d{{2}}:\d{{2}}:\d{{2}} \d{{4}}\z"
+    # Once a form is known, its parts stand at fixed places: of day, month, year, hour, minute and second.
+    form = F.when(c.rlike(fix), 1).when(c.rlike(old), 2).when(c.rlike(asc), 3)
+    text = F.when(form == 2, F.substring_index(c, ", ", -1)).otherwise(c)
+    part = lambda a, b, d, n=2: F.when(form == 1, F.substring(text, a, n)).when(form == 2, F.substring(text, b, n)).otherwise(F.substring(text, d, n))
+    yy = _int(F.substring(text, 8, 2))
+    year = F.when(form == 1, _int(F.substring(text, 13, 4))).when(form == 2, yy + F.when(yy >= 70, 1900).otherwise(2000)).otherwise(_int(F.substring(text, 21, 4)))
+    at = _seconds(year, number(part(9, 4, 5, 3)), _int(F.trim(part(6, 1, 9))), _int(part(18, 11, 12)), _int(part(21, 14, 15)), _int(part(24, 17, 18)))
+    return F.when(form.isNotNull(), at.cast("double"))
 
 
 def pattern(format_: str):
@@ -93,9 +100,15 @@ def pattern(format_: str):
 
 
 def chain(c: Column, parsers: Sequence) -> tuple[Column, Column]:
-    """The first parser's value that isn't null, and whether a later one than the first gave it."""
-    values = [p(c) for p in parsers]
-    return F.coalesce(*values), values[0].isNull() & F.coalesce(*values).isNotNull()
+    """The first parser's value that isn't null, and whether a later one than the first gave it.
+
+    Each parser is written once: the values are an array, of which the first with a value is taken. An array
+    function also keeps the parsers of long chains out of one method of generated code.
+    """
+    values = F.transform(F.array(c), lambda x: F.array(*[p(x) for p in parsers]))[0]
+    found = F.filter(F.zip_with(values, F.sequence(F.lit(0), F.lit(len(parsers) - 1)), lambda v, k: F.struct(v.alias("v"), k.alias("k"))), lambda e: e["v"].isNotNull())
+    first = F.get(found, F.lit(0))
+    return first["v"], F.coalesce(first["k"] > 0, F.lit(False))
 
 
 def iso_text(seconds: Column) -> Column:

@@ -16,6 +16,8 @@ MESSAGES = {
     "not_finite": "must be finite", "wrong_count": "must have {minimum} to {maximum} items", "not_unique": "must not repeat items", "date_not_before": "must be before {bound}",
     "date_not_after": "must be after {bound}", "date_not_between": "must be between {minimum} and {maximum}", "invalid_date": "must be a date", "unknown_key": "is not a known key",
     "missing_column": "is a required column", "malformed_document": "is not a well-formed document", "not_representable": "can't be written", "fallback_applied": "was replaced by its fallback",
+    "unknown_variant": "must be one of {options}", "number_overflow": "is out of range", "invalid_utf8": "is not UTF-8", "trailing_content": "has content after its end", "depth_exceeded": "is nested too deeply",
+    "too_many_bytes": "is too long", "extras_key_collision": "collides with a declared key", "date_format_fallback": "is in another format than the first",
 }
 
 

@@ -11,6 +11,14 @@ from ..schema import REQUIRED, SCALARS, Field, Schema
 EMPTY = f"array<{ISSUE}>"
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def _none() -> Column:
     return F.array().cast(EMPTY)
 
@@ -18,7 +26,7 @@ def _none() -> Column:
 def rule_issues(f: Field, value: Column, path: Column) -> Column:
     """Issues of one field: an array per field, so that wide schemas stay within generated code."""
     element = SCALARS[f.element][1] if f.element in SCALARS else None
-    found = [c for r in f.rules for c in r.issues(value, f.kind, path, element)]
+    found = [c for r in f.checked for c in r.issues(value, f.kind, path, element)]
     return F.concat(*found) if found else _none()
 
 

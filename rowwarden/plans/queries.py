@@ -166,7 +166,7 @@ _MADE = """CASE c_custkey % 6 WHEN 0 THEN '{"name": "' || c_name || '"}' WHEN 1
 
 
 @query(f"""SELECT c_custkey, unnest(CASE c_custkey % 6 WHEN 0 THEN ['age:missing'] WHEN 1 THEN ['age:type_mismatch'] WHEN 2 THEN ['name:type_mismatch']
- WHEN 3 THEN ['name:missing', 'age:too_large', 'nmae:unknown_key'] WHEN 4 THEN [':malformed_document'] ELSE [] END) AS found FROM (SELECT *, {_MADE} AS doc FROM customer)""")
+ WHEN 3 THEN ['name:missing', 'age:too_large', 'nmae:unknown_key'] WHEN 4 THEN [':trailing_content'] ELSE [] END) AS found FROM (SELECT *, {_MADE} AS doc FROM customer)""")
 def presence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = Schema("person", [Field("name", "string"), Field("age", "long", [R.max_(150)])], unknown="reject")
     rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MADE).alias("doc")), schema, "doc")

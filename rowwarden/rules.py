@@ -20,10 +20,10 @@ class SchemaError(ValueError):
     """A schema or rule that can't mean anything, found when it is declared."""
 
 
-def issue(code: str, path: Column, params: dict | None = None, received: Column | None = None) -> Column:
-    pairs = [x for k, v in sorted((params or {}).items()) for x in (F.lit(k), F.lit(str(v)))]
+def issue(code: str | Column, path: Column, params: dict | None = None, received: Column | None = None) -> Column:
+    pairs = [x for k, v in sorted((params or {}).items()) for x in (F.lit(k), v if isinstance(v, Column) else F.lit(str(v)))]
     shown = F.create_map(*pairs) if pairs else F.lit(None)
-    return F.struct(F.lit(code).alias("code"), path.alias("path"), shown.cast("map<string,string>").alias("params"), (received.cast("string") if received is not None else F.lit(None).cast("string")).alias("received")).cast(ISSUE)
+    return F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), path.alias("path"), shown.cast("map<string,string>").alias("params"), (received.cast("string") if received is not None else F.lit(None).cast("string")).alias("received")).cast(ISSUE)
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ class Rule:
     message: str | None = None
     inner: tuple = ()
     each: bool = False
+    hint: Callable[[Column], Column] | None = None
 
     def or_(self, message: str) -> Rule:
         """The same rule with a message of its own."""
@@ -53,7 +54,7 @@ class Rule:
             return [F.flatten(F.transform(F.coalesce(value, F.array()), lambda x, i: F.concat(*[c for r in self.inner for c in r.issues(x, element or "string", F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))])))]
         if self.inner:
             return [c for r in self.inner for c in r.issues(value, kind, path, element)]
-        params = dict(self.params) | ({"message": self.message} if self.message else {})
+        params = dict(self.params) | ({"message": self.message} if self.message else {}) | ({"didYouMean": self.hint(value)} if self.hint else {})
         found = issue(self.code, path, params, None if kind == "array" else value)
         return [F.when(value.isNotNull() & self.violated[kind](value), F.array(found)).otherwise(F.array().cast(f"array<{ISSUE}>"))]
 
@@ -119,6 +120,21 @@ def one_of(*options) -> Rule:
     return _rule("not_one_of", {"options": ", ".join(f'"{o}"' if isinstance(o, str) else str(o) for o in options)}, string=lambda c: ~c.isin(*options), number=lambda c: ~c.isin(*options))
 
 
+def nearest(value: Column, options: Sequence[str]) -> Column:
+    """The first of the nearest options within one edit, or two for texts of over four bytes; a swap is one edit."""
+    limit = F.when(F.octet_length(value) <= 4, 1).otherwise(2)
+    swaps = {o: [s for k in range(len(o) - 1) if (s := o[:k] + o[k + 1] + o[k] + o[k + 2 :]) != o] for o in options}
+    scored = [F.struct(F.when(value.isin(*swaps[o]), 1).otherwise(F.levenshtein(value, F.lit(o))).alias("d"), F.lit(k).alias("k"), F.lit(o).alias("o")) for k, o in enumerate(options)]
+    best = F.array_min(F.array(*scored))
+    return F.when(best["d"].between(1, limit), best["o"])
+
+
+def variant_of(*options: str) -> Rule:
+    """A closed set of texts, with the nearest one as a hint."""
+    rule = _rule("unknown_variant", {"options": ", ".join(options)}, string=lambda c: ~c.isin(*options))
+    return replace(rule, hint=lambda c: nearest(c, options))
+
+
 positive = _rule("not_positive", number=lambda c: ~_real(c) | ~(c > 0))
 negative = _rule("not_negative", number=lambda c: ~_real(c) | ~(c < 0))
 non_negative = _rule("negative", number=lambda c: c < 0)

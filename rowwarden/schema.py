@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from .functions.text import KEY_STYLES, PREPROCESS
-from .rules import Rule, SchemaError
+from .rules import Rule, SchemaError, variant_of
 
 REQUIRED = object()
 
@@ -21,9 +21,66 @@ SCALARS: dict[str, tuple[T.DataType, str]] = {
 }
 
 
+@dataclass(frozen=True)
+class ArrayOf:
+    """An array whose elements have a type that a name can't say, such as a Schema."""
+
+    of: Any
+
+
+@dataclass(frozen=True)
+class MapOf:
+    """A map from strings to such a type."""
+
+    of: Any
+
+
+def opened(type_: Any) -> tuple[str, Any]:
+    """``("array" | "map", type within)`` or ``("schema" | "variant" | "scalar", type)``."""
+    if isinstance(type_, Schema):
+        return "schema", type_
+    if isinstance(type_, ArrayOf):
+        return "array", type_.of
+    if isinstance(type_, MapOf):
+        return "map", type_.of
+    if isinstance(type_, str):
+        name = type_.replace(" ", "")
+        if name.startswith("array<") and name.endswith(">"):
+            return "array", name[6:-1]
+        if name.startswith("map<string,") and name.endswith(">"):
+            return "map", name[11:-1]
+        if name == "variant":
+            return "variant", name
+        if name in SCALARS:
+            return "scalar", name
+    raise SchemaError(f"unknown type {type_!r}; types are scalar names, array<...>, map<string,...>, variant, ArrayOf, MapOf and Schema")
+
+
+def spark_type_of(type_: Any) -> T.DataType:
+    kind, inner = opened(type_)
+    if kind == "schema":
+        return inner.to_struct_type()
+    if kind == "array":
+        return T.ArrayType(spark_type_of(inner))
+    if kind == "map":
+        return T.MapType(T.StringType(), spark_type_of(inner))
+    return T.VariantType() if kind == "variant" else SCALARS[inner][0]
+
+
+def type_name(type_: Any) -> str:
+    kind, inner = opened(type_)
+    if kind in ("array", "map"):
+        return f"array<{type_name(inner)}>" if kind == "array" else f"map<string,{type_name(inner)}>"
+    return inner.name if kind == "schema" else inner
+
+
 @dataclass(frozen=True)
 class Field:
-    """One field: its type is a scalar name, ``array<...>`` or ``map<...>`` of one, ``variant``, or a nested Schema.
+    """One field: its type is a scalar name, ``array<...>``, ``map<string,...>``, ``variant``, a nested Schema, or ArrayOf
+    or MapOf any of these.
+
+    ``cases`` are the texts of an enum. A closed one reports others; an ``open`` one keeps them, and encoding
+    refuses them unless it is ``round_trips``.
 
     ``default`` stands in for absence and is then validated; ``fallback`` replaces whatever is wrong, with a
     warning. ``dates`` are parsers in the order they are tried. ``transform`` runs after the rules; encoding
@@ -45,41 +102,30 @@ class Field:
     inverse: Callable[[Column], Column] | None = None
     ignore: bool = False
     extras: bool = False
+    cases: Sequence[str] = ()
+    enum: str = "closed"
+
+    @property
+    def checked(self) -> list[Rule]:
+        """The rules, and that of a closed enum."""
+        return [*self.rules, *([variant_of(*self.cases)] if self.cases and self.enum == "closed" else [])]
 
     @property
     def element(self) -> str | None:
-        return self.type[6:-1] if isinstance(self.type, str) and self.type.startswith("array<") else None
+        kind, inner = opened(self.type)
+        return inner if kind == "array" and isinstance(inner, str) and inner in SCALARS else None
 
     @property
     def kind(self) -> str:
-        if isinstance(self.type, Schema):
-            return "struct"
-        if self.type == "variant":
-            return "variant"
-        return "array" if self.type.startswith("array<") else "map" if self.type.startswith("map<") else SCALARS[self.type][1]
+        kind, inner = opened(self.type)
+        return "struct" if kind == "schema" else SCALARS[inner][1] if kind == "scalar" else kind
 
     @property
     def required(self) -> bool:
         return not self.optional and self.default is REQUIRED and self.fallback is REQUIRED
 
-    def kind_known(self) -> bool:
-        try:
-            self.spark_type()
-        except (KeyError, IndexError):
-            return False
-        return True
-
     def spark_type(self) -> T.DataType:
-        if isinstance(self.type, Schema):
-            return self.type.to_struct_type()
-        if self.type == "variant":
-            return T.VariantType()
-        if self.element:
-            return T.ArrayType(SCALARS[self.element][0])
-        if self.kind == "map":
-            value = self.type.split(",", 1)[1].rstrip(">").strip()
-            return T.MapType(T.StringType(), SCALARS[value][0] if value in SCALARS else T.VariantType())
-        return SCALARS[self.type][0]
+        return spark_type_of(self.type)
 
 
 @dataclass(frozen=True)
@@ -124,12 +170,13 @@ class Schema:
 
     def _check(self, f: Field) -> None:
         where = f"{self.name}.{f.name}"
-        if not isinstance(f.type, Schema):
-            inner = f.element or f.type
-            if not f.kind_known():
-                raise SchemaError(f"{where}: unknown type {f.type!r}")
-            if inner.startswith("map<") and not inner.replace(" ", "").startswith("map<string,"):
-                raise SchemaError(f"{where}: keys of a map are strings")
+        try:
+            opened(f.type)
+            spark_type_of(f.type)
+        except SchemaError as e:
+            raise SchemaError(f"{where}: {e}") from e
+        if f.enum not in ("closed", "open", "round_trips") or f.cases and f.type != "string":
+            raise SchemaError(f"{where}: cases are for strings, in an enum that is closed, open or round_trips")
         for r in f.rules:
             r.check_type(f.kind, SCALARS[f.element][1] if f.element in SCALARS else None)
         if bad := [p for p in f.preprocess if p not in PREPROCESS]:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.validate import _none, rule_issues
 from ..rules import SchemaError, issue
@@ -34,6 +35,31 @@ def bind(df: DataFrame, schema: Schema) -> BoundPlan:
     return BoundPlan(schema, {f.name: next((first[k] for k in (schema.key(f), *f.aliases) if k in first), -1) for f in schema.active})
 
 
+def _narrowed(raw: Column, kind: T.DataType, source: T.DataType | None) -> Column:
+    """``raw`` in another type where that keeps its value; text isn't taken for numbers, nor the other way round."""
+    if source is None or source == kind:
+        return raw.cast(kind)
+    number = lambda t: isinstance(t, (T.NumericType,))
+    if number(source) != number(kind) or isinstance(source, T.StringType) != isinstance(kind, T.StringType) or isinstance(source, T.BooleanType) != isinstance(kind, T.BooleanType):
+        return F.lit(None).cast(kind)
+    return F.when(F.coalesce(raw.try_cast(kind).cast(source) == raw, F.lit(False)), raw.try_cast(kind))
+
+
+def missing_values(df: DataFrame, schema: Schema, *keep: str) -> DataFrame:
+    """A ``missing`` issue at ``[key].field`` for every required value that a row lacks or that doesn't narrow exactly.
+
+    These are the rows that :func:`batch` leaves out; ``keep`` names the columns that tell them apart.
+    """
+    plan = bind(df, schema)
+    label = F.concat_ws(",", *[F.col(k).cast("string") for k in keep])
+    found = []
+    for f in schema.active:
+        if f.required and (at := plan.positions[f.name]) >= 0:
+            value = _narrowed(F.col(df.columns[at]), f.spark_type(), df.schema[at].dataType)
+            found.append(F.when(value.isNull(), F.array(issue("missing", F.concat(F.lit("["), label, F.lit("]."), F.lit(schema.key(f)))))).otherwise(_none()))
+    return df.select(*keep, F.explode(F.concat(*found) if found else _none()).alias("issue")).select(*keep, "issue.*")
+
+
 def batch(df: DataFrame, schema: Schema, *keep: str) -> tuple[DataFrame, list[dict]]:
     """Typed values with ``_issues`` and ``_warnings``, and one ``missing_column`` per absent required column.
 
@@ -49,8 +75,8 @@ def batch(df: DataFrame, schema: Schema, *keep: str) -> tuple[DataFrame, list[di
     for f in schema.active:
         at = plan.positions[f.name]
         kind = f.spark_type()
-        raw: Column = F.col(f"_{at}") if at >= 0 else F.lit(None)
-        value = raw.cast(kind) if at < 0 else F.when(raw.isNotNull() & F.coalesce(raw.try_cast(kind).cast(df.dtypes[at][1]) == raw, F.lit(False)), raw.try_cast(kind))
+        raw: Column = F.col(f"_{at}") if at >= 0 else F.lit(None).cast(kind)
+        value = _narrowed(raw, kind, df.schema[at].dataType if at >= 0 else None)
         if f.default is not REQUIRED:
             value = F.when(raw.isNull(), F.lit(f.default).cast(kind)).otherwise(value)
         bad = rule_issues(f, value, F.lit(schema.key(f)))
