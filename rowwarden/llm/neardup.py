@@ -33,6 +33,8 @@ LEAF = 1024
 #: Tokens that a larger place selects on average: one, and a second one in a quarter of the places. The reciprocal
 #: of the similarity keeps a pair of that similarity together in one branch on average, and no set in many more.
 BRANCHES = 1.25
+#: Trees whose large places are compared with their pivots before all others.
+EARLY = 2
 #: Levels of branching that the number of trees reckons with.
 DEPTH = 10
 #: Sets of a large place whose tokens tell what its centre is.
@@ -349,32 +351,48 @@ def links(reps: DataFrame, texts: _Texts, similarity: float, recall: float = REC
             at, cell = leaf_cells(t.column("node").to_numpy(), rep, part, sketch, agree)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(rep[at])], names=["cell", "rep"])
 
-    while True:
+    def placed_in(level: DataFrame) -> DataFrame:
+        """``level`` with ``n`` and ``large`` of each place that has two sets that aren't known to be linked."""
         parts = level.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
         held = F.coalesce(F.max(F.when(F.col("part").isNotNull(), F.col("n"))), F.lit(0))
         places = parts.groupBy("node").agg(F.sum("n").alias("n"), held.alias("held"))
         free = F.col("n") - F.col("held")
         large = (F.col("n") > LEAF) & ((free * F.col("n") > LEAF * LEAF) | (F.col("n") > 64 * LEAF))
         places = materialize(places.where((F.col("n") > 1) & (free > 0)).select("node", "n", large.alias("large")), "places")
-        placed = materialize(level.join(places, "node"), "placed")
+        return materialize(level.join(places, "node"), "placed")
+
+    def compared(deep: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sets of large places with their pivot, and the links to it."""
+        deep = materialize(deep.select("node", "rep", "part", "n").join(reps.select("rep", "tokens"), "rep"), "large")
+        centres = materialize(_centres(deep), "centres")
+        met = deep.join(if_few(centres, "pivot_tokens"), "node").withColumn("near", _alike("tokens", "pivot_tokens") >= agree).drop("pivot_tokens")
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK_SETS)).alias("chunk")
+        return met, texts.stars(met.where((F.col("rep") != F.col("pivot")) & F.col("near")).select("rep", "pivot", chunk).distinct())
+
+    # What the large places of the first trees link is one part in all trees: large families go along but once.
+    early = placed_in(reps.select("rep", F.explode(F.slice(starts, 1, EARLY)).alias("node")).withColumn("part", F.lit(None).cast("bigint"))).where("large")
+    if not early.isEmpty():
+        edges.append(compared(early)[1])
+        parts = components(edges[0]).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        level = level.drop("part").join(if_small(parts, parts.count()), "rep", "left").select("rep", "node", "part")
+
+    while True:
+        placed = placed_in(level)
         few.append(placed.where("not large").select("node", "rep", F.coalesce("part", "rep").alias("part")))
-        deep = placed.where("large").select("node", "rep", "part", "n").join(reps.select("rep", "tokens"), "rep")
+        deep = placed.where("large")
         if deep.isEmpty():
             break
         depth += 1
         if depth > LEVELS:
             rest = deep.select(F.col("node").alias("cell"), "rep")
             break
-        deep = materialize(deep, "large")
-        centres = materialize(_centres(deep), "centres")
-        met = deep.join(if_few(centres, "pivot_tokens"), "node").withColumn("near", _alike("tokens", "pivot_tokens") >= agree).drop("pivot_tokens")
-        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK_SETS)).alias("chunk")
-        star = texts.stars(met.where((F.col("rep") != F.col("pivot")) & F.col("near")).select("rep", "pivot", chunk).distinct())
+        met, star = compared(deep)
         edges.append(star)
         # Only a set that was compared with the pivot can be linked to it; the others needn't meet the links.
         covered = star.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("covered")).distinct()
         near = met.where("near").join(if_small(covered, covered.count()), ["rep", "pivot"], "left")
-        near = near.select("node", "rep", "tokens", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot")).otherwise(F.col("part")).alias("part"))
+        # A set keeps the part it has: the pivot may be of another one, and then the two are linked by this edge.
+        near = near.select("node", "rep", "tokens", F.coalesce("part", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot"))).alias("part"))
         known = near.union(met.where("not near").select("node", "rep", "tokens", "part"))
         level = known.select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
     small = reduce(DataFrame.union, few).join(reps.select("rep", "sketch"), "rep")
