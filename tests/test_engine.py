@@ -85,7 +85,7 @@ def test_documents_that_cannot_be_read(spark):
     schema = Schema("s", [Field("a", "long")])
     texts = [None, "", "{", '{"a": 1} {"a": 2}', "[1]", '{"a": ' + "[" * 80 + "]" * 80 + "}", '{"a": 1}', '{"a": 1.5}', '{"a": null}', "{}"]
     rows = json.decode(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, doc string"), schema, "doc").orderBy("k").collect()
-    assert [[i["code"] for i in r["_issues"]] for r in rows] == [["malformed_document"]] * 5 + [["depth_exceeded"], [], ["type_mismatch"], ["type_mismatch"], ["missing"]]
+    assert [[i["code"] for i in r["_issues"]] for r in rows] == [["malformed_document"]] * 3 + [["trailing_content"], ["malformed_document"], ["depth_exceeded"], [], ["type_mismatch"], ["type_mismatch"], ["missing"]]
 
 
 def test_missing_column_is_one_issue(spark):
