@@ -11,7 +11,7 @@ from .. import rules as R
 from ..functions import coerce, dates
 from ..functions.text import PREPROCESS, graphemes
 from ..operators import encode, render, validate
-from ..schema import Check, Field, Schema
+from ..schema import ArrayOf, Check, Field, MapOf, Schema
 from ..sources import columnar, json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +280,64 @@ def render_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, CAST(length_grapheme(replace(text, chr(13), '')) AS BIGINT) AS n FROM documents")
 def grapheme_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", graphemes(F.replace("text", F.lit("\r"), F.lit(""))).cast("long").alias("n"))
+
+
+_NESTED = """CASE c_custkey % 5 WHEN 0 THEN '{"a": [{"x": [1, 2]}, {"x": [3]}], "m": {"k": {"x": [4]}}}' WHEN 1 THEN '{"a": [{"x": [1, "b"]}, 7], "m": {"k": {}}}'
+ WHEN 2 THEN '{"a": ' || repeat('[', 70) || repeat(']', 70) || ', "m": {}}' WHEN 3 THEN '{"a": [' || repeat('{"x": []},', 80) || '{"x": [' || c_custkey || ']}], "m": {}}' ELSE '{"a": [], "m": {}}' || repeat(' }', CAST(c_custkey % 2 AS INT)) END"""
+
+
+@query(f"""SELECT c_custkey, unnest(CASE c_custkey % 5 WHEN 1 THEN ['a[0].x[1]:type_mismatch', 'a[1]:type_mismatch', 'm.k.x:missing'] WHEN 2 THEN [':depth_exceeded']
+ WHEN 4 THEN (CASE WHEN c_custkey % 2 = 1 THEN [':trailing_content'] ELSE ['none'] END) ELSE ['none'] END) AS found FROM (SELECT *, {_NESTED.replace('CAST(c_custkey % 2 AS INT)', 'c_custkey % 2')} AS doc FROM customer)""")
+def decode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of schemas with arrays, maps of schemas, nesting and trailing content: every issue with its path."""
+    inner = Schema("inner", [Field("x", "array<long>")])
+    schema = Schema("outer", [Field("a", ArrayOf(inner)), Field("m", MapOf(inner))])
+    rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NESTED).alias("doc")), schema, "doc")
+    found = F.transform("_issues", lambda i: F.concat(i["path"], F.lit(":"), i["code"]))
+    return rows.select("c_custkey", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))).alias("found"))
+
+
+@query("SELECT event_id, event_type AS path, CASE event_type WHEN 'clikc' THEN 'click' WHEN 'vew' THEN 'view' END AS hint FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 'clikc' WHEN event_type = 'view' THEN 'vew' ELSE event_type END AS event_type FROM events) WHERE event_type NOT IN ('signup', 'click', 'view')")
+def enum_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts outside a closed enum, with the nearest case."""
+    text = F.when(F.col("event_type") == "click", "clikc").when(F.col("event_type") == "view", "vew").otherwise(F.col("event_type"))
+    schema = Schema("event", [Field("t", "string", cases=("signup", "click", "view"))])
+    rows = validate.issues(table(spark, sf_dir, "events").select("event_id", text.alias("t")), schema, "event_id")
+    return rows.select("event_id", F.col("received").alias("path"), F.try_element_at("params", F.lit("didYouMean")).alias("hint"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 1 THEN '{"account_name":"' || c_name || '","kind":"' || CASE c_custkey % 3 WHEN 0 THEN 'a' ELSE 'b' END || '","note":' || CASE WHEN c_custkey % 2 = 0 THEN '"n"' ELSE 'null' END || '}' END AS json,
+ CASE WHEN c_custkey % 3 = 1 THEN 'kind:unknown_variant' ELSE '' END AS found FROM customer""")
+def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The very text of encoded rows: order and style of keys, null for what is absent, an open enum that doesn't round-trip."""
+    schema = Schema("account", [Field("accountName", "string"), Field("kind", "string", cases=("a", "b"), enum="open"), Field("note", "string", optional=True)], keys="snake")
+    kind = F.element_at(F.array(F.lit("a"), F.lit("z"), F.lit("b")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("accountName"), kind.alias("kind"), F.when(F.col("c_custkey") % 2 == 0, "n").alias("note"))
+    done = encode.encode_json(rows, schema)
+    return done.select("c_custkey", "json", F.array_join(F.transform("json_issues", lambda i: F.concat(i["path"], F.lit(":"), i["code"])), ",").alias("found"))
+
+
+@query("SELECT c_custkey, '[' || c_custkey || '].c_name' AS path, 'missing' AS code FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT c_custkey, '[' || c_custkey || '].c_acctbal', 'missing' FROM customer WHERE c_acctbal <> trunc(c_acctbal)")
+def row_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a bound table lacks or that don't narrow exactly, by row."""
+    schema = Schema("account", [Field("name", "string", key="c_name"), Field("balance", "long", key="c_acctbal")])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("c_name"), "c_acctbal")
+    return columnar.missing_values(rows, schema, "c_custkey").select("c_custkey", "path", "code")
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS old, CAST(epoch(o_orderdate) AS DOUBLE) AS asc, CAST(epoch(o_orderdate) AS DOUBLE) AS millis, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")
+def dates_other_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFC 850, asctime and milliseconds back to the same instant, and its ISO text."""
+    at = F.col("o_orderdate").cast("timestamp")
+    old, asc = F.date_format(at, "EEEE, dd-MMM-yy HH:mm:ss 'GMT'"), F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
+    millis = (F.unix_seconds(at) * 1000).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.http_date(old).alias("old"), dates.http_date(asc).alias("asc"), dates.unix_millis(millis).alias("millis"), dates.iso_text(F.unix_seconds(at)).alias("iso"))
+
+
+@query("SELECT c_custkey, unnest(list_filter(['a:empty', CASE WHEN c_custkey % 2 = 0 THEN 'b:too_small' END, CASE WHEN c_custkey % 2 = 0 THEN 'b:wrong_length' END], lambda x: x IS NOT NULL AND (x <> 'a:empty' OR c_custkey % 4 = 0))) AS found FROM customer")
+def rule_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emptiness, and a conjunction of rules."""
+    schema = Schema("row", [Field("a", "string", [R.not_empty]), Field("b", "string", [R.all_(R.min_(3), R.length(3))])])
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 4 == 0, "").otherwise("x").alias("a"), F.when(k % 2 == 0, "yz").otherwise("xyz").alias("b"))
+    return validate.issues(rows, schema, "c_custkey").select("c_custkey", F.concat("path", F.lit(":"), "code").alias("found"))
