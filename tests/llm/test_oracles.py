@@ -72,6 +72,7 @@ def test_small_leaves_branch_and_find_the_same(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     want = {tuple(r) for r in neardup.link(docs, words=2).collect()}
     monkeypatch.setattr(neardup, "LEAF", 24)
+    monkeypatch.setattr(neardup, "LEVELS", 2)
     assert {tuple(r) for r in neardup.link(docs, words=2).collect()} == want
 
 
