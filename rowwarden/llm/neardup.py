@@ -312,10 +312,8 @@ def _centres(deep: DataFrame) -> DataFrame:
     The tokens are counted over some ``VOTERS`` sets of a place. Sets not linked to a pivot yet come first. If
     the sets of a place derive from one of them, it is the one that all are linked to.
     """
-    votes = deep.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / VOTERS)) == 0).select("node", F.posexplode("tokens").alias("at", "token"))
-    votes = votes.groupBy("node", "at", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("node", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    common = votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("m"))
-    common = common.select("node", F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda k: F.try_element_at("m", k)).alias("common"))
+    voters = deep.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / VOTERS)) == 0)
+    common = voters.groupBy("node").agg(F.array(*[F.mode(F.get("tokens", F.lit(k)), True) for k in range(TOKENS)]).alias("common"))
     met = deep.join(common, "node", "left").withColumn("rank", F.struct(F.col("part").isNull(), F.coalesce(_alike("tokens", "common"), F.lit(0)), F.xxhash64("rep"), "rep"))
     return met.groupBy("node").agg(F.max(F.struct("rank", "rep", "tokens")).alias("best")).select("node", F.col("best.rep").alias("pivot"), F.col("best.tokens").alias("pivot_tokens"))
 
