@@ -90,20 +90,34 @@ LIFT = 0.25
 THRESHOLD = 0.5
 
 
+_SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
+
+
 def _spans(text: Column, kind: Kind) -> Column:
-    """Array of structs of start, end and matched text; the text has at least one match."""
+    """Array of structs of start, end, matched text and what stands before it; the text has at least one match.
+
+    Positions are running sums over blocks of some square root of the matches, so that no array grows one by one
+    through a whole text, and the characters before a span come along instead of being looked up in the text.
+    """
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    width = lambda p: F.ceil(F.sqrt(F.size(p))).cast("int")
+    blocks = lambda p: F.transform(F.sequence(F.lit(1), F.size(p), width(p)), lambda k: F.slice(p, k, width(p)))
+    state = lambda at, tail, out: F.struct(at.alias("at"), tail.alias("tail"), out.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))
-        return F.struct(end.alias("at"), F.concat(a["out"], span).alias("out"))
+        before = F.right(F.concat(a["tail"], x["gap"]), F.lit(CONTEXT))
+        span = F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("text"), before.alias("before"))
+        return state(start + F.length(x["hit"]), F.right(F.concat(before, x["hit"]), F.lit(CONTEXT)), F.concat(a["out"], F.array(span)))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, begin, step, lambda a: a["out"])
+    def block(a: Column, xs: Column) -> Column:
+        return F.aggregate(xs, state(a["at"], a["tail"], F.array().cast(_SPAN)), step, lambda s: state(s["at"], s["tail"], F.concat(a["out"], F.array(s["out"]))))
+
+    # The pairs are bound by a lambda, so that each use reads them instead of matching anew.
+    begin = state(F.lit(0), F.lit(""), F.array().cast(f"array<{_SPAN}>"))
+    return F.flatten(F.get(F.transform(F.array(pairs), lambda p: F.aggregate(blocks(p), begin, block, lambda s: s["out"])), F.lit(0)))
 
 
 def find(text: Column, kinds: Sequence[Kind] = KINDS) -> Column:
@@ -119,8 +133,7 @@ def _maybe(text: Column, kind: Kind) -> Column:
 
 def _scored(text: Column, kind: Kind) -> Column:
     def score(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        near = before.rlike("(?i)\\b(" + "|".join(kind.words) + ")\\b") if kind.words else F.lit(False)
+        near = s["before"].rlike("(?i)\\b(" + "|".join(kind.words) + ")\\b") if kind.words else F.lit(False)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(1.0), kind.base + F.when(near, LIFT).otherwise(0.0)).alias("score"))
 
     found = F.transform(F.filter(_spans(text, kind), lambda s: kind.check(s["text"])), score)
