@@ -4,7 +4,7 @@ A cover D modulo a period v has, for any two positions, a shift below v that tak
 runs of ``length`` words share an aligned pair of windows of ``length - v + 1`` words that begin at positions
 whose remainder is in D, wherever the runs stand. Only those windows, the anchors, are hashed and grouped.
 Around an anchor that occurs in another document, the whole runs of ``length`` words are hashed and compared;
-those that also start in a smaller document are removed.
+those that also start in a smaller document are removed. Two hashes of 64 bits each stand for a run.
 
 Documents with the same words are settled first: all but the smallest lose every word that a run covers, and
 since the smallest holds the same runs, none of them has to take part in what follows.
@@ -24,6 +24,8 @@ from ._shared import free_name, if_few, if_small, materialize
 from ._text import NONSPACE, hash_spans, lists, ranges, slabs, window_hashes, word_spans
 
 LENGTH = 50
+#: Bytes in another order: a second hash of the same words, so that runs are compared by 128 bits.
+_OTHER = np.random.default_rng(20240608).permutation(256).astype(np.uint8)
 # A perfect difference set, in which every remainder modulo 31 is the difference of one pair.
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
@@ -80,7 +82,7 @@ def profile(texts: pa.Array, length: int) -> pa.Array:
 
 
 def runs(texts: pa.Array, marks: pa.Array, same: pa.Array, length: int) -> pa.Array:
-    """For each text, the starts and hashes of the runs that hold a whole anchor that begins at one of ``marks``.
+    """For each text, the starts and both hashes of the runs that hold a whole anchor that begins at one of ``marks``.
 
     A text whose words don't hash to ``same`` isn't the one that was marked, and gets none.
     """
@@ -104,8 +106,9 @@ def runs(texts: pa.Array, marks: pa.Array, same: pa.Array, length: int) -> pa.Ar
             counts.append(len(p))
         counts = np.array(counts)
         p = np.concatenate([*places, np.zeros(0, np.int64)])
-        found = window_hashes(h, length, np.repeat(first[:-1], counts) + p)
-        out.append(pa.StructArray.from_arrays([lists(p.astype(np.int32), counts, pa.int32()), lists(found.view(np.int64), counts, pa.int64())], names=["places", "hashes"]))
+        at = np.repeat(first[:-1], counts) + p
+        hashes = [lists(window_hashes(w, length, at).view(np.int64), counts, pa.int64()) for w in (h, hash_spans(_OTHER[raw], starts, ends))]
+        out.append(pa.StructArray.from_arrays([lists(p.astype(np.int32), counts, pa.int32()), *hashes], names=["places", "hashes", "checks"]))
     return pa.concat_arrays(out)
 
 
@@ -177,13 +180,13 @@ def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     # Whole runs around shared anchors, and the smallest document of each.
     near = keyed.join(if_few(marks, "marks"), "doc_id")
-    found = near.select("doc_id", "same", _over(lambda t, m, s: runs(t, m, s, length), "places array<int>, hashes array<long>", "text", "marks", "same").alias("r"))
+    found = near.select("doc_id", "same", _over(lambda t, m, s: runs(t, m, s, length), "places array<int>, hashes array<long>, checks array<long>", "text", "marks", "same").alias("r"))
     found = materialize(found.select("doc_id", "same", "r.*"), "runs")
-    each = found.select("doc_id", "same", F.explode(F.arrays_zip("places", "hashes")).alias("r")).select("doc_id", "same", F.col("r.places").alias("place"), F.col("r.hashes").alias("run"))
-    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    each = found.select("doc_id", "same", F.explode(F.arrays_zip("places", "hashes", "checks")).alias("r")).select("doc_id", "same", F.col("r.places").alias("place"), F.col("r.hashes").alias("run"), F.col("r.checks").alias("check"))
+    first = each.groupBy("run", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "check", "first")
     # Written first, so that the join deals both sides anew and can split a run that very many documents hold.
     first = materialize(first, "first")
-    gone = each.join(first, "run").where("doc_id > first")
+    gone = each.join(first, ["run", "check"]).where("doc_id > first")
     places = materialize(gone.groupBy("doc_id", "same").agg(F.collect_set("place").alias("places")), "places")
     return profiles.drop("anchors"), copies, places
 
