@@ -2,7 +2,7 @@
 
 Features are the presence of words and of the beginnings of words. A logistic model with an L1 penalty is
 fitted to a bounded sample of labelled texts. For every labelled sentence that names a group, the name is
-swapped for the others of its kind; the squared change of the model's logit between the two versions is a
+swapped for the others of its kind, one name at a time; the squared change of the model's logit between the two versions is a
 penalty beside the loss, so that naming one group rather than another doesn't move a score. Names of groups
 are also inserted into sentences without any, so that neutral mention as such doesn't move it either.
 """
@@ -66,7 +66,7 @@ def feature_lists(texts: pa.Array) -> pa.Array:
 
 
 def counterfactuals(texts: Sequence[str], terms: Sequence[Sequence[str]] = IDENTITY_TERMS, inserted: int = 200) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in the group they name: swaps, and insertions into the first sentences without a name."""
+    """Pairs of sentences that differ in a group they name: swaps of each name, and insertions into ``inserted`` sentences without one."""
     kind = {t: group for group in terms for t in group}
     named = re.compile(r"\b(" + "|".join(sorted(kind, key=len, reverse=True)) + r")\b", re.IGNORECASE) if kind else None
     pairs: list[tuple[str, str]] = []
@@ -75,10 +75,11 @@ def counterfactuals(texts: Sequence[str], terms: Sequence[Sequence[str]] = IDENT
     flat, bare = [t for group in terms for t in group], 0
     for text in texts:
         for sentence in re.split(r"[.!?\n]+", text):
-            if m := named.search(sentence):
+            found = list(named.finditer(sentence))
+            for m in found:
                 own = m.group().lower()
                 pairs += [(sentence, sentence[: m.start()] + t + sentence[m.end() :]) for t in kind[own] if t != own]
-            elif bare < inserted and sentence.strip():
+            if not found and bare < inserted and sentence.strip():
                 pairs.append((sentence, f"{sentence} {flat[bare % len(flat)]}"))
                 bare += 1
     return pairs
@@ -191,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield feature_lists(texts)
 
     named = "(?i)\\b(" + "|".join(t for group in terms for t in group) + ")\\b"
-    # Texts come along only where they name a group, or for a few insertions.
-    carried = F.when(F.col("t").rlike(named), F.col("t")).when(F.pmod(F.xxhash64("k"), F.lit(50)) == 0, F.substring("t", 1, 400))
+    # Whole texts of the sample come along where they name a group, and one in fifty of the others for insertions.
+    carried = F.when(F.col("t").rlike(named) | (F.pmod(F.xxhash64("k"), F.lit(50)) == 0), F.col("t"))
     got = drawn.select("l", "k", F.arrow_udf(run, "array<long>")(F.col("t")).alias("h"), carried.alias("t")).toArrow().sort_by([("k", "ascending"), ("l", "ascending")])
     h = got["h"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     hashes = [np.asarray(x.values).view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in h]
