@@ -51,3 +51,10 @@ def problem_details(issues: Column) -> Column:
     """An array of issues as JSON in the shape of problem details, status 422."""
     errors = F.transform(issues, lambda i: F.struct(i["path"].alias("path"), i["code"].alias("code"), message_column(i).alias("detail")))
     return F.to_json(F.struct(F.lit("about:blank").alias("type"), F.lit("Unprocessable Content").alias("title"), F.lit(422).alias("status"), errors.alias("errors")))
+
+
+def report(source: str, issues: Column, warnings: Column | None = None) -> Column:
+    """JSON with the source, whether there are no issues, the issues and the warnings; parameters as texts in order of their names."""
+    shown = lambda found: F.transform(found, lambda i: F.struct(i["path"].alias("path"), i["code"].alias("code"), message_column(i).alias("message"), F.map_from_entries(F.array_sort(F.map_entries(i["params"]))).alias("params"), i["received"].alias("received")))
+    none = F.array().cast("array<string>") if warnings is None else shown(warnings)
+    return F.to_json(F.struct(F.lit(source).alias("source"), (F.size(issues) == 0).alias("valid"), shown(issues).alias("issues"), none.alias("warnings")))

@@ -69,9 +69,13 @@ def rule_prefix_suffix_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "part"), "p_partkey", Field("p_name", "string", [R.prefix("Part"), R.suffix("7")]), Field("p_type", "string", [R.contains("E")]))
 
 
-@query(codes("(SELECT doc_id, replace(text, chr(13), '') AS text FROM documents)", "doc_id", ("text", "too_small", "length_grapheme(text) < 300"), ("text", "too_large", "length_grapheme(text) > 4000"), ("text", "wrong_length", "length_grapheme(text) <> 1000")))
+#: A line break of two characters is one cluster; the function of the SQL counts two in ASCII texts.
+_ONE_BREAK = "replace(text, chr(13) || chr(10), chr(10))"
+
+
+@query(codes(f"(SELECT doc_id, {_ONE_BREAK} AS text FROM documents)", "doc_id", ("text", "too_small", "length_grapheme(text) < 300"), ("text", "too_large", "length_grapheme(text) > 4000"), ("text", "wrong_length", "length_grapheme(text) <> 1000")))
 def rule_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return found(rows, "doc_id", Field("text", "string", [R.min_(300), R.max_(4000), R.length(1000)], optional=True))
 
 
@@ -128,17 +132,11 @@ def rule_multiple_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.issues(rows, Schema("line", [Field("l_quantity", "double", [R.multiple_of(7)])]), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "path", "code")
 
 
-@query(codes("(SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents WHERE text IS NOT NULL)", "doc_id", ("w", "wrong_count", "len(w) NOT BETWEEN 8 AND 12"), ("w", "not_unique", "len(list_distinct(w)) <> len(w)")) + " UNION ALL SELECT doc_id, 'w[' || (i - 1) || ']' AS path, 'too_small' AS code FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents WHERE text IS NOT NULL)) WHERE length_grapheme(w[i]) < 2")
-def rule_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 60), " ").alias("w"))
-    return found(rows, "doc_id", Field("w", "array<string>", [R.count(8, 12), R.unique, R.each(R.min_(2))], optional=True))
-
-
 _WHOLE = "(SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)"
 
 
 @query(codes(_WHOLE, "doc_id", ("w", "wrong_count", "len(w) NOT BETWEEN 20 AND 400"), ("w", "not_unique", "len(list_distinct(w)) <> len(w)")) + f" UNION ALL SELECT doc_id, 'w[' || (i - 1) || ']' AS path, 'too_small' AS code FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {_WHOLE}) WHERE length_grapheme(w[i]) < 2")
-def rule_collections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     schema = Schema("row", [Field("w", "array<string>", [R.count(20, 400), R.unique, R.each(R.min_(2))], optional=True)])
     every = validate.annotate(rows, schema, max_issues=2**31 - 1)  # a text can have an issue for every word
@@ -156,9 +154,10 @@ _PROPS = Schema("props", [Field("k", "long", [R.range_(10, 90)])])
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 10 AND 90 THEN 0 ELSE 1 END AS n_issues FROM events")
 def decode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all documents, decoded once, and the issues of their rules."""
     rows = json.decode(table(spark, sf_dir, "events").select("event_id", "props"), Schema("props", [Field("k", "long")]), "props")
-    marked = json.decode(table(spark, sf_dir, "events").select("event_id", "props"), _PROPS, "props").select("event_id", F.size("_issues").alias("n_issues"))
-    return rows.join(marked, "event_id").select("event_id", "value.k", "n_issues")
+    marked = validate.annotate(rows.select("event_id", "value.k"), _PROPS)
+    return marked.select("event_id", "k", F.size("_issues").alias("n_issues"))
 
 
 _MADE = """CASE c_custkey % 6 WHEN 0 THEN '{"name": "' || c_name || '"}' WHEN 1 THEN '{"name": "' || c_name || '", "age": null}' WHEN 2 THEN '{"name": 7, "age": 3}'
@@ -173,18 +172,13 @@ def presence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.explode(F.transform("_issues", lambda i: F.concat(i["path"], F.lit(":"), i["code"]))).alias("found"))
 
 
-@query("SELECT c_custkey, CAST(CASE c_custkey % 6 WHEN 2 THEN 3 WHEN 3 THEN 18 WHEN 5 THEN 5 ELSE 18 END AS BIGINT) AS age, c_custkey % 6 = 3 AS fell_back FROM customer WHERE c_custkey % 6 NOT IN (1, 4)")
+@query("SELECT c_custkey, CAST(CASE c_custkey % 6 WHEN 2 THEN 3 WHEN 4 THEN NULL WHEN 5 THEN 5 ELSE 18 END AS BIGINT) AS age, c_custkey % 6 <> 4 AS accepted, c_custkey % 6 IN (0, 1, 3) AS fell_back FROM customer")
 def defaults_and_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An absent, null or too large age falls back with a warning; a broken document has neither."""
     schema = Schema("person", [Field("age", "long", [R.max_(150)], default=18, fallback=18)])
     rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MADE).alias("doc")), schema, "doc")
-    return rows.where(~(F.col("c_custkey") % 6).isin(1, 4)).select("c_custkey", "value.age", (F.size(F.filter("_warnings", lambda w: w["code"] == "fallback_applied")) > F.when(F.col("c_custkey") % 6 == 0, 1).otherwise(0)).alias("fell_back"))
-
-
-@query("SELECT c_custkey, CAST(CASE c_custkey % 6 WHEN 2 THEN 3 WHEN 4 THEN NULL WHEN 5 THEN 5 ELSE 18 END AS BIGINT) AS age, c_custkey % 6 <> 4 AS accepted FROM customer")
-def defaults_and_fallbacks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = Schema("person", [Field("age", "long", [R.max_(150)], default=18, fallback=18)])
-    rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MADE).alias("doc")), schema, "doc")
-    return rows.select("c_custkey", "value.age", (F.size("_issues") == 0).alias("accepted"))
+    fell_back = F.exists("_warnings", lambda w: w["code"] == "fallback_applied")
+    return rows.select("c_custkey", "value.age", (F.size("_issues") == 0).alias("accepted"), fell_back.alias("fell_back"))
 
 
 @query("SELECT event_type || 'x' AS path, event_type AS did_you_mean, count(*) AS n FROM events GROUP BY 1, 2")
@@ -271,15 +265,20 @@ def encode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("c_custkey", F.col("value.accountName").alias("name"), F.col("value.openBalance").alias("balance"), F.col("value.note").isNull().alias("absent"))
 
 
-@query("SELECT o_orderkey, 'must be at most 400000' AS message FROM orders WHERE o_totalprice > 400000")
+_SAID = [("o_totalprice > 400000", "must be at most 400000"), ("o_totalprice < 1000", "must be at least 1000"), ("o_orderstatus NOT IN ('O', 'F')", "must be one of \"O\", \"F\""), ("NOT ends_with(o_orderpriority, 'H')", "must end with H"), ("NOT contains(o_orderpriority, '-')", "must contain -"), ("o_custkey % 2 <> 0", "must be a multiple of 2")]
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{text}' AS message FROM orders WHERE {test}" for test, text in _SAID))
 def render_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = validate.annotate(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), Schema("order", [Field("o_totalprice", "double", [R.max_(400000)])]))
+    """The sentence of every issue, parameters filled in."""
+    schema = Schema("order", [Field("o_totalprice", "double", [R.max_(400000), R.min_(1000)]), Field("o_orderstatus", "string", [R.one_of("O", "F")]), Field("o_orderpriority", "string", [R.suffix("H"), R.contains("-")]), Field("o_custkey", "long", [R.multiple_of(2)])])
+    rows = validate.annotate(table(spark, sf_dir, "orders").select("o_orderkey", *[f.name for f in schema.fields]), schema)
     return rows.select("o_orderkey", F.explode("_issues").alias("i")).select("o_orderkey", render.message_column(F.col("i")).alias("message"))
 
 
-@query(r"SELECT doc_id, CAST(length_grapheme(replace(text, chr(13), '')) AS BIGINT) AS n FROM documents")
+@query(f"SELECT doc_id, CAST(length_grapheme({_ONE_BREAK}) AS BIGINT) AS n FROM documents")
 def grapheme_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", graphemes(F.replace("text", F.lit("\r"), F.lit(""))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", graphemes(F.col("text")).cast("long").alias("n"))
 
 
 _NESTED = """CASE c_custkey % 5 WHEN 0 THEN '{"a": [{"x": [1, 2]}, {"x": [3]}], "m": {"k": {"x": [4]}}}' WHEN 1 THEN '{"a": [{"x": [1, "b"]}, 7], "m": {"k": {}}}'
@@ -341,3 +340,24 @@ def rule_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 4 == 0, "").otherwise("x").alias("a"), F.when(k % 2 == 0, "yz").otherwise("xyz").alias("b"))
     return validate.issues(rows, schema, "c_custkey").select("c_custkey", F.concat("path", F.lit(":"), "code").alias("found"))
+
+
+@query("""SELECT c_custkey, '<account id="' || c_custkey || '"><name>' || replace(replace(replace(c_name || t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name>' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '<note>n</note>' END
+ || CASE WHEN c_custkey % 2 = 0 THEN '<tag>a</tag><tag>b</tag>' ELSE '' END || '<codes><item>1</item><item>2</item></codes><at unit="m">7</at></account>' AS xml FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN ' <&> "q"' ELSE '' END AS t FROM customer)""")
+def encode_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of rows as XML: attributes, elements, repeated siblings, wrapped items, content beside attributes; absent ones left out."""
+    at = Schema("at", [Field("unit", "string", xml="attribute"), Field("value", "long", xml="text")])
+    schema = Schema("account", [Field("id", "long", xml="attribute"), Field("name", "string"), Field("note", "string", optional=True), Field("tag", "array<string>"), Field("codes", "array<long>", xml="wrapped"), Field("at", at)])
+    k = F.col("c_custkey")
+    name = F.concat("c_name", F.when(k % 5 == 0, ' <&> "q"').otherwise(""))
+    tags = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", k.alias("id"), name.alias("name"), F.when(k % 3 != 0, "n").alias("note"), tags.alias("tag"), F.array(F.lit(1), F.lit(2)).alias("codes"), F.struct(F.lit("m").alias("unit"), F.lit(7).alias("value")).alias("at"))
+    return encode.encode_xml(rows, schema).select("c_custkey", "xml")
+
+
+@query("""SELECT o_orderkey, '{"source":"orders","valid":' || CASE WHEN o_totalprice > 300000 THEN 'false' ELSE 'true' END || ',"issues":[' || CASE WHEN o_totalprice > 300000 THEN '{"path":"o_totalprice","code":"too_large","message":"must be at most 300000","params":{"maximum":"300000"},"received":"' || CAST(o_totalprice AS VARCHAR) || '"}' ELSE '' END || '],"warnings":[]}' AS report FROM orders""")
+def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of each row as one JSON text."""
+    schema = Schema("order", [Field("o_totalprice", "double", [R.max_(300000)])])
+    rows = validate.annotate(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), schema)
+    return rows.select("o_orderkey", render.report("orders", F.col("_issues")).alias("report"))

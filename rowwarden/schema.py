@@ -84,7 +84,8 @@ class Field:
 
     ``default`` stands in for absence and is then validated; ``fallback`` replaces whatever is wrong, with a
     warning. ``dates`` are parsers in the order they are tried. ``transform`` runs after the rules; encoding
-    such a field needs ``inverse``.
+    such a field needs ``inverse``. ``xml`` places a field in encoded XML: an ``element`` (an array repeats it), an
+    ``attribute``, the ``text`` of its element, or an array ``wrapped`` in one element.
     """
 
     name: str
@@ -104,6 +105,7 @@ class Field:
     extras: bool = False
     cases: Sequence[str] = ()
     enum: str = "closed"
+    xml: str = "element"
 
     @property
     def checked(self) -> list[Rule]:
@@ -151,6 +153,8 @@ class Schema:
     def __post_init__(self) -> None:
         if self.keys not in KEY_STYLES or self.unknown not in ("ignore", "warn", "reject", "collect"):
             raise SchemaError(f"{self.name}: unknown key style or policy")
+        if len([f for f in self.fields if f.xml == "text"]) > 1:
+            raise SchemaError(f"{self.name}: more than one field is the text of its XML element")
         if len(self.active) > 64:
             raise SchemaError(f"{self.name}: more than 64 fields")
         seen: set[str] = set()
@@ -177,6 +181,9 @@ class Schema:
             raise SchemaError(f"{where}: {e}") from e
         if f.enum not in ("closed", "open", "round_trips") or f.cases and f.type != "string":
             raise SchemaError(f"{where}: cases are for strings, in an enum that is closed, open or round_trips")
+        kind = opened(f.type)[0]
+        if f.xml not in ("element", "attribute", "text", "wrapped") or f.xml in ("attribute", "text") and kind != "scalar" or f.xml == "wrapped" and kind != "array":
+            raise SchemaError(f"{where}: XML attributes and text are scalars, wrapped fields are arrays")
         for r in f.rules:
             r.check_type(f.kind, SCALARS[f.element][1] if f.element in SCALARS else None)
         if bad := [p for p in f.preprocess if p not in PREPROCESS]:
