@@ -392,7 +392,8 @@ def links(reps: DataFrame, texts: _Texts, similarity: float, recall: float = REC
         # A set keeps the part it has: the pivot may be of another one, and then the two are linked by this edge.
         near = near.select("node", "rep", "tokens", F.coalesce("part", F.when(F.col("covered") | (F.col("rep") == F.col("pivot")), F.col("pivot"))).alias("part"))
         known = near.union(met.where("not near").select("node", "rep", "tokens", "part"))
-        level = known.select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node"))
+        # Places are counted over the level and joined to it: written once, its paths are made once.
+        level = materialize(known.select("rep", "part", F.explode(F.array_distinct(_paths(F.col("node"), depth))).alias("node")), "level")
     small = reduce(DataFrame.union, few).join(reps.select("rep", "sketch"), "rep")
     found = small.repartition("node").sortWithinPartitions("node").select("node", "rep", "part", "sketch").mapInArrow(leaves, "cell long, rep long")
     edges.append(texts.cells(found if rest is None else found.union(rest)))
