@@ -313,8 +313,9 @@ def _centres(deep: DataFrame) -> DataFrame:
     the sets of a place derive from one of them, it is the one that all are linked to.
     """
     voters = deep.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / VOTERS)) == 0)
-    common = voters.groupBy("node").agg(F.array(*[F.mode(F.get("tokens", F.lit(k)), True) for k in range(TOKENS)]).alias("common"))
-    met = deep.join(common, "node", "left").withColumn("rank", F.struct(F.col("part").isNull(), F.coalesce(_alike("tokens", "common"), F.lit(0)), F.xxhash64("rep"), "rep"))
+    common = materialize(voters.groupBy("node").agg(F.array(*[F.mode(F.get("tokens", F.lit(k)), True) for k in range(TOKENS)]).alias("common")), "common")
+    # The few rows of places go to the sets, which stay where they are: a task needn't take a whole place.
+    met = deep.join(if_few(common, "common"), "node", "left").withColumn("rank", F.struct(F.col("part").isNull(), F.coalesce(_alike("tokens", "common"), F.lit(0)), F.xxhash64("rep"), "rep"))
     return met.groupBy("node").agg(F.max(F.struct("rank", "rep", "tokens")).alias("best")).select("node", F.col("best.rep").alias("pivot"), F.col("best.tokens").alias("pivot_tokens"))
 
 
