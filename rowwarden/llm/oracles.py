@@ -79,5 +79,32 @@ WITH d AS (
 )
 SELECT doc_id, source, size, total AS source_size, CAST(target AS DOUBLE) AS target,
   CAST(n * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - n * total - start)) AS BIGINT) AS taken FROM e
+""",
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN doc_id > first THEN 'E' ELSE '' END AS bad
+  FROM d LEFT JOIN f USING (t) LEFT JOIN l USING (doc_id)
+), cell AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (SELECT o, k, o[k] AS f, o[1:k - 1] AS b FROM o, unnest(range(1, 6)) AS u(k)),
+j AS (
+  SELECT part, o, k, n, good, toxic, contains(bad, f) AS fails, len(list_intersect(string_split(bad, ''), string_split(b, ''))) > 0 AND b <> '' AND bad <> '' AS early, bad = f AS only_f FROM cell, s
+), r AS (
+  SELECT part, o, k, sum(CASE WHEN NOT fails AND NOT early THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT early THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND early THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN only_f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT early THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT early THEN toxic ELSE 0 END) AS toxic_lost
+  FROM j GROUP BY 1, 2, 3
+)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[k]) AS BIGINT) AS shapley FROM r
 """,
 }

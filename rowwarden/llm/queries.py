@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embdedup, htmltext, langid, mixing, neardup, pii, secrets, substrdedup, toxicity
+from . import decontaminate, embdedup, filteraudit, htmltext, langid, mixing, neardup, pii, secrets, substrdedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -99,6 +99,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, size=F.col("words")).select("doc_id", "source", "mix.*")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filteraudit.audit(filteraudit.masks(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op4_main_text, op5_language, op6_neardup, op7_pii, op8_passages, op9_embeddings, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op4_main_text, op5_language, op6_neardup, op7_pii, op8_passages, op9_embeddings, op10_mixing, op13_filter_audit)
 }
