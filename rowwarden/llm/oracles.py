@@ -106,5 +106,33 @@ j AS (
 )
 SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[k]) AS BIGINT) AS shapley FROM r
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  WITH RECURSIVE b AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM t
+    UNION ALL SELECT c, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(v, CAST(ord(s[i // 9 + 1]) AS BIGINT)) ELSE xor(v >> 1, (v & 1) * 3988292384) END FROM b WHERE i < 9 * len(s))
+  SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM b WHERE i = 9 * len(s)
+), own AS (
+  SELECT crc.c, k, r, x FROM crc JOIN t ON t.c = crc.c - crc.c % 100 WHERE k <= h
+  UNION ALL SELECT crc.c, t.k + 10, r, x FROM crc JOIN t USING (c) WHERE k > h
+), n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, r, x FROM own),
+ln AS (SELECT crc.c, coalesce(max(d), 0) AS n FROM crc LEFT JOIN n USING (c) GROUP BY crc.c),
+p AS (
+  SELECT c, d, length(x) AS size, string_agg(sha256(strlen(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS g FROM n
+  UNION ALL SELECT c, 0, 0, '' FROM crc
+), node AS (
+  SELECT d, g, min(c) AS c, count(*) AS n, max(size) AS size, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ln.n = d), '') AS ends
+  FROM p JOIN ln USING (c) GROUP BY d, g
+), kids AS (SELECT a.c, a.d, count(b.c) AS n FROM node a LEFT JOIN node b ON b.d = a.d + 1 AND starts_with(b.g, a.g) GROUP BY a.c, a.d),
+sub AS (
+  SELECT a.c, a.d, sum((b.n - 1) * b.size) AS saved, count(*) FILTER (WHERE k.n = 0) AS leaves
+  FROM node a JOIN node b ON b.d >= a.d AND starts_with(b.g, a.g) JOIN kids k ON k.c = b.c AND k.d = b.d GROUP BY a.c, a.d
+)
+SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, u.c AS parent_conv_id, CAST(a.n AS BIGINT) AS n_convs, CAST(k.n AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM node a JOIN kids k USING (c, d) JOIN sub s USING (c, d) LEFT JOIN node u ON u.d = a.d - 1 AND starts_with(a.g, u.g)
 """,
 }
