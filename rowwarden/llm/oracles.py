@@ -134,5 +134,15 @@ sub AS (
 )
 SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, u.c AS parent_conv_id, CAST(a.n AS BIGINT) AS n_convs, CAST(k.n AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
 FROM node a JOIN kids k USING (c, d) JOIN sub s USING (c, d) LEFT JOIN node u ON u.d = a.d - 1 AND starts_with(a.g, u.g)
+""",
+    "op12_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT i, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT i, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d WHERE len(h) >= 400)),
+g AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS (SELECT i, p, coalesce(lag(p) OVER (PARTITION BY i ORDER BY p) + 200, 0) AS e FROM w SEMI JOIN g USING (g)),
+t AS (SELECT i, e AS lo, p AS hi, p > e OR p = 0 OR e = 0 AS new FROM s UNION ALL SELECT i, max(p) + 200, NULL, false FROM s GROUP BY i),
+k AS (SELECT d.i, sum(CASE WHEN new THEN 1 ELSE 0 END) AS spans, string_agg(CASE WHEN hi IS NULL THEN substr(h, 2 * lo + 1) WHEN hi > lo THEN substr(h, 2 * lo + 1, 2 * (hi - lo)) ELSE '' END, '' ORDER BY lo) AS kept FROM t JOIN d USING (i) GROUP BY d.i)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(coalesce(kept, h))) // 2 AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (i)
 """,
 }

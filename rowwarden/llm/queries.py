@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embdedup, filteraudit, htmltext, langid, mixing, neardup, pii, prefixtrie, secrets, substrdedup, toxicity
+from . import decontaminate, embdedup, filteraudit, htmltext, langid, mixing, neardup, pii, prefixtrie, secrets, substrdedup, suffixdedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -103,11 +103,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.build(read(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.summary(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filteraudit.audit(filteraudit.masks(docs, read(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op4_main_text, op5_language, op6_neardup, op7_pii, op8_passages, op9_embeddings, op10_mixing, op11_prefix_trie, op13_filter_audit)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_toxicity, op4_main_text, op5_language, op6_neardup, op7_pii, op8_passages, op9_embeddings, op10_mixing, op11_prefix_trie, op12_suffix_dedup, op13_filter_audit)
 }
