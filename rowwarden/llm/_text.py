@@ -15,7 +15,7 @@ import pyarrow as pa
 
 #: Bytes of text that one numpy pass covers; a longer text is a pass of its own.
 SLAB_BYTES = 2 << 20
-#: Elements per block of a prefix hash, which bounds the power tables.
+#: Spans that are hashed at once.
 BLOCK = 1 << 15
 
 _U = np.uint64
@@ -32,14 +32,9 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
 
-def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, dtype=_U), np.full(n, inverse, dtype=_U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-
-
-_POW, _INV = _tables(2 * BLOCK + 2, int(_BASE))
+#: Bytes of a span up to which each byte at each place has a random number of its own.
+SHORT = 64
+_PLACED = np.random.default_rng(20240610).integers(0, 1 << 64, (2, SHORT << 8), dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,41 +85,41 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(end), np.searchsorted(starts, offs)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans ascend and don't overlap."""
-    out = np.empty(len(starts), dtype=_U)
-    size = ends - starts
-    i, n = 0, len(starts)
-    while i < n:
-        if size[i] > BLOCK:
-            out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-            i += 1
-            continue
-        first = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, first + BLOCK, "right")))
-        total = np.zeros(ends[j - 1] - first + 1, dtype=_U)
-        np.cumsum((buf[first : ends[j - 1]].astype(_U) + _U(1)) * _POW[: len(total) - 1], out=total[1:])
-        s, e = starts[i:j] - first, ends[i:j] - first
-        out[i:j] = (total[e] - total[s]) * _INV[s]
-        i = j
-    return mix(out + size.astype(_U) * _U(0xD6E8FEB86659FD93))
-
-
-def window_hashes(h: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the ``width`` elements of ``h`` that start at each of the ascending indexes ``at``."""
-    out = np.empty(len(at), dtype=_U)
-    i, n = 0, len(at)
-    while i < n:
-        first = at[i]
-        j = int(np.searchsorted(at, first + BLOCK, "left"))
-        piece = h[first : at[j - 1] + width]
-        up, down = (_POW, _INV) if len(piece) < len(_POW) else _tables(len(piece) + 1, int(_BASE))
-        total = np.zeros(len(piece) + 1, dtype=_U)
-        np.cumsum(piece * up[: len(piece)], out=total[1:])
-        s = at[i:j] - first
-        out[i:j] = (total[s + width] - total[s]) * down[s]
-        i = j
-    return mix(out)
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; the two values of ``seed`` give independent ones.
+
+    A span of up to ``SHORT`` bytes is the sum of a random number for each byte at its place; a longer one has a
+    keyed cryptographic digest. Neither is a polynomial, so no family of texts collides by construction.
+    """
+    out = np.zeros(len(starts), dtype=_U)
+    for lo in range(0, len(starts), BLOCK):
+        at, size = starts[lo : lo + BLOCK], (ends - starts)[lo : lo + BLOCK]
+        short = np.flatnonzero(size <= SHORT)
+        n = size[short]
+        place = ranges(n)
+        total = np.zeros(len(place) + 1, dtype=_U)
+        np.cumsum(_PLACED[seed][(place << 8) | buf[np.repeat(at[short], n) + place]], out=total[1:])
+        end = np.cumsum(n)
+        out[lo + short] = mix(total[end] - total[end - n] + n.astype(_U) * _U(0xD6E8FEB86659FD93))
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[lo + k] = int.from_bytes(hashlib.blake2b(buf[at[k] : at[k] + size[k]].tobytes(), digest_size=8, key=bytes([seed + 1])).digest(), "little")
+    return out
+
+
+def window_hashes(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all windows of ``width`` elements of ``h``, or of those that start at the indexes ``at``.
+
+    Windows double in width, each from two neighbours by a step that isn't linear, so that repeats within a window
+    can't cancel.
+    """
+    out, m = h, 1
+    step = lambda a, b: (a ^ (a >> _U(29))) * _BASE + ((b ^ (b >> _U(32))) * _U(0xC2B2AE3D27D4EB4F))
+    while 2 * m <= width:
+        out = step(out[: max(0, len(out) - m)], out[m:])
+        m *= 2
+    if m < width:
+        out = step(out[: max(0, len(out) - (width - m))], out[width - m :])
+    return mix(out if at is None else out[at])
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import if_few, if_small, materialize, require_integral
-from ._text import FOLD, NONSPACE, hash_spans, lists, mix, ranges, slabs, word_spans
+from ._text import FOLD, NONSPACE, hash_spans, lists, mix, ranges, slabs, window_hashes, word_spans
 from .graphs import components
 
 #: Minwise tokens of a set.
@@ -73,18 +73,12 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.n
     folded = FOLD[buf]
     starts, ends, first = word_spans(folded, offs, NONSPACE)
     h = hash_spans(folded, starts, ends)
-    grams = np.zeros(max(0, len(h) - words + 1), dtype=_U)
-    for k in range(words):
-        grams = grams * _U(0x9E3779B97F4A7C15) + h[k : len(h) - words + 1 + k]
-    grams = mix(grams)
+    grams = window_hashes(h, words)
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= words:
             yield np.unique(grams[a : b - words + 1])
         else:
-            short = _U(b - a)
-            for x in h[a:b]:
-                short = short * _U(0xC2B2AE3D27D4EB4F) + x if b > a else short
-            yield mix(np.array([short], dtype=_U))[: 1 if b > a else 0]
+            yield window_hashes(h[a:b], b - a) ^ _U(b - a) if b > a else grams[:0]
 
 
 def minwise(values: np.ndarray) -> np.ndarray:

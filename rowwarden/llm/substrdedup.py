@@ -4,7 +4,7 @@ A cover D modulo a period v has, for any two positions, a shift below v that tak
 runs of ``length`` words share an aligned pair of windows of ``length - v + 1`` words that begin at positions
 whose remainder is in D, wherever the runs stand. Only those windows, the anchors, are hashed and grouped.
 Around an anchor that occurs in another document, the whole runs of ``length`` words are hashed and compared;
-those that also start in a smaller document are removed. Two hashes of 64 bits each stand for a run.
+those that also start in a smaller document are removed. Two independent hashes of 64 bits each stand for a run.
 
 Documents with the same words are settled first: all but the smallest lose every word that a run covers, and
 since the smallest holds the same runs, none of them has to take part in what follows.
@@ -24,8 +24,6 @@ from ._shared import free_name, if_few, if_small, materialize
 from ._text import NONSPACE, hash_spans, lists, ranges, slabs, window_hashes, word_spans
 
 LENGTH = 50
-#: Bytes in another order: a second hash of the same words, so that runs are compared by 128 bits.
-_OTHER = np.random.default_rng(20240608).permutation(256).astype(np.uint8)
 # A perfect difference set, in which every remainder modulo 31 is the difference of one pair.
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
@@ -107,7 +105,7 @@ def runs(texts: pa.Array, marks: pa.Array, same: pa.Array, length: int) -> pa.Ar
         counts = np.array(counts)
         p = np.concatenate([*places, np.zeros(0, np.int64)])
         at = np.repeat(first[:-1], counts) + p
-        hashes = [lists(window_hashes(w, length, at).view(np.int64), counts, pa.int64()) for w in (h, hash_spans(_OTHER[raw], starts, ends))]
+        hashes = [lists(window_hashes(w, length, at).view(np.int64), counts, pa.int64()) for w in (h, hash_spans(raw, starts, ends, 1))]
         out.append(pa.StructArray.from_arrays([lists(p.astype(np.int32), counts, pa.int32()), *hashes], names=["places", "hashes", "checks"]))
     return pa.concat_arrays(out)
 
