@@ -24,17 +24,21 @@ from pyspark.sql import functions as F
 
 from ._shared import if_small, materialize
 
-# Elements whose content isn't text, elements of the template, elements that hold the article,
-# elements inside a line of text, elements without content, words of class and id that mark template, words that
-# may stand beside those, words of reader comments, and roles that mark template.
+# Elements whose content isn't text, elements of the template, those of them that hold no article, elements that do,
+# elements that end a line of text, elements without content, words of class and id that mark template, words that
+# may stand beside those, words of reader comments, words of what stands beside an article, elements whose id is a
+# name to link to, and roles that mark template.
 SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select textarea datalist button".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msqrt msub msup mfrac mtext meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav noframes noscript ol optgroup option p plaintext pre script search section select style summary table tbody td template textarea tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-BESIDE = frozenset("site page main top bottom left right box bar block list section area container wrapper inner outer primary secondary global posts articles links link buttons button item items content text".split())
-COMMENTS = frozenset("comment comments reply replies respond".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion discussions disqus dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+BESIDE = frozenset("site page main top bottom left right box bar block list section area container wrapper inner outer primary secondary global posts articles links link buttons button item items content text reader readers user users visitor visitors".split())
+COMMENTS = frozenset("comment comments discussion discussions disqus reply replies respond".split())
+SIDE = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs footer menu nav navbar navigation newsletter pager pagination promo promoted related sidebar sponsor sponsored".split())
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -58,14 +62,16 @@ class _Element:
 
     name: str
     above: _Element | None
-    marked: bool = False  # as template, unless it holds an article
+    marked: int = 0  # as template, unless it holds an article: see _marked
     silent: bool = False
     holds: bool = False  # an article or main element below it
     gone: bool | None = None
     article: bool = field(init=False)
+    beside: bool = field(init=False)  # this or one above stands beside articles
 
     def __post_init__(self) -> None:
         self.article = self.name in MAIN or self.above is not None and self.above.article
+        self.beside = self.marked > 1 or self.name in ASIDE or self.above is not None and self.above.beside
 
     def left_out(self) -> bool:
         """Whether this or an element above is silent or marked; each element is looked at once."""
@@ -76,7 +82,7 @@ class _Element:
             at = at.above
         gone = at is not None and bool(at.gone)
         for x in reversed(path):
-            gone = x.gone = gone or x.silent or x.marked and not x.holds
+            gone = x.gone = gone or x.silent or x.marked == 3 or x.marked > 0 and not x.holds
         return gone
 
 
@@ -129,28 +135,40 @@ def _noise(names: str, words: frozenset[str]) -> bool:
     return False
 
 
-def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is marked as template; ``inside`` an article its own headers aren't."""
+def _marked(name: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element is marked as template: 1, 2 as what stands beside an article, 3 as reader comments, else 0.
+
+    ``inside`` an article its own headers and hidden parts aren't, and ids of sections only if they say comments.
+    """
+    classes, own = attributes.get("class", ""), attributes.get("id", "")
+    if name in NAMED:
+        own = ""
+    if _noise(classes, COMMENTS) or name not in MAIN and _noise(own, COMMENTS):
+        return 3
     if name in MAIN:
-        return _noise(attributes.get("class", ""), COMMENTS)
+        return 0
     if name in CHROME and not (inside and name == "header"):
-        return True
+        return 1
     if not attributes or name in ("html", "body"):
-        return False
-    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return 0
+    if not inside and ("hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()):
+        return 1
     if attributes.get("role", "").lower() in ROLES:
-        return True
+        return 1
     words = NOISE - {"header"} if inside else NOISE
-    return _noise(attributes.get("class", ""), words) or _noise(attributes.get("id", ""), words)
+    own = "" if inside and name == "section" else own
+    if not (_noise(classes, words) or _noise(own, words)):
+        return 0
+    return 2 if _noise(classes, SIDE) or _noise(own, SIDE) else 1
 
 
 def lines(page: str | None) -> list[Line]:
     """Lines of visible text outside marked template, in page order, with white space made single blanks.
 
-    Marks by class, id or role, and forms and headers, don't count on an element that holds an article.
+    Marks by class, id or role, and forms and headers, don't count on an element that holds an article. Those of
+    reader comments always do, and those of what stands beside articles if the page has an article elsewhere.
     """
-    top = _Element("", None)
+    top, free, others = _Element("", None), False, []
     here, out, piece = top, [], []  # out: raw text of a block and its element
     opened: Counter[str] = Counter()
 
@@ -171,7 +189,7 @@ def lines(page: str | None) -> list[Line]:
             piece.append(value)
             continue
         name = value
-        if name not in INLINE:
+        if name in BLOCK:
             flush()
         if name in VOID:
             continue
@@ -180,7 +198,7 @@ def lines(page: str | None) -> list[Line]:
             while at is not None and at.name != name:
                 at = at.above
             if at is not None:
-                if name in INLINE and (here.marked or at.marked or here.silent):
+                if name not in BLOCK and (here.marked or at.marked or here.silent):
                     flush()
                 elif any_block(here, at):
                     flush()
@@ -189,21 +207,25 @@ def lines(page: str | None) -> list[Line]:
         if name in ("p", "li", "tr", "td"):
             # These end where the next of their kind begins.
             at = here
-            while at is not None and at.name in INLINE and at.name:
+            while at is not None and at.name not in BLOCK and at.name:
                 at = at.above
             if at is not None and at.name == name:
                 back(at.above)
         new = _Element(name, here, _marked(name, attributes, here.article), name in SILENT)
-        if name in INLINE and (new.marked or new.silent):
+        if name not in BLOCK and (new.marked or new.silent):
             flush()
         if name in MAIN and not new.marked:
-            at = here
-            while at is not None and not at.holds:
-                at.holds = at.name not in ("nav", "footer", "aside", "menu", "dialog")
-                at = at.above
+            if here.beside:
+                others.append(here)
+            else:
+                free = True
+                holding(here)
         here = new
         opened[name] += 1
     flush()
+    if not free:
+        for at in others:
+            holding(at)
     shown = []
     for raw, element in out:
         text = _SPACE.sub(" ", html.unescape(raw)).strip()
@@ -212,10 +234,17 @@ def lines(page: str | None) -> list[Line]:
     return shown
 
 
+def holding(at: _Element | None) -> None:
+    """Says of an element and those above that they hold an article."""
+    while at is not None and not at.holds:
+        at.holds = at.name not in ASIDE
+        at = at.above
+
+
 def any_block(here: _Element, at: _Element) -> bool:
     """Whether an element from ``here`` up to ``at`` ends a line."""
     while here is not at:
-        if here.name not in INLINE:
+        if here.name in BLOCK:
             return True
         here = here.above
     return False

@@ -27,6 +27,17 @@ def text(page: str) -> str:
         ("1 < 2 <b>3</b>", "1 < 2 3"),
         ("", ""), ("<p>", ""), ("<div class='cookie-banner'>x</div>y", "y"),
         ("<article class='comment'>c</article><article>a</article>", "a"),
+        ('<article>a<div class="comments"><article>b</article></div></article>', "a"),
+        ('<main>m</main><section id="comments"><article class="post">c</article></section>', "m"),
+        ('<section id="comments"><article class="post">c</article></section>', ""),
+        ('<article>a</article><div class="reader-comments">b</div><div id="user-discussion">c</div>', "a"),
+        ('<div class="sidebar"><article>teaser</article></div><article>a</article>', "a"),
+        ('<article>a</article><div class="related"><div><article>teaser</article></div></div>', "a"),
+        ('<form><div class="widget"><article>a</article></div></form>', "a"),
+        ('<article><h2 id="share">Share prices</h2><p id="related">b</p><p hidden>c</p></article>', "Share prices b c"),
+        ('<main><section id="social">a</section><section id="comments">b</section></main>', "a"),
+        ("<p>a<nobr>b</nobr>c x<my-tag>y</my-tag></p>", "abc xy"),
+        ("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul><dl><dt>e<dd>f</dl>", "a b c d e f"),
     ],
 )
 def test_lines(page, want):
