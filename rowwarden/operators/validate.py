@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import ISSUE, issue
-from ..schema import REQUIRED, SCALARS, Field, Schema
+from ..schema import REQUIRED, SCALARS, Field, Schema, opened
 
 EMPTY = f"array<{ISSUE}>"
 
@@ -30,57 +32,81 @@ def rule_issues(f: Field, value: Column, path: Column) -> Column:
     return F.concat(*found) if found else _none()
 
 
-def check_issues(schema: Schema, values: dict[str, Column], prefix: str = "") -> list[Column]:
+def joined(prefix: Column | None, key: str) -> Column:
+    """The path of a field below ``prefix``."""
+    return F.lit(key) if prefix is None else F.concat(prefix, F.lit(f".{key}"))
+
+
+def at_index(path: Column, k: Column) -> Column:
+    return F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))
+
+
+def holds_schema(type_) -> bool:
+    """Whether a type is or holds a schema, at any depth."""
+    kind, inner = opened(type_)
+    return kind == "schema" or kind in ("array", "map") and holds_schema(inner)
+
+
+def check_issues(schema: Schema, values: dict[str, Column], prefix: Column | None = None) -> list[Column]:
     by_name = {f.name: f for f in schema.fields}
     out = []
     for c in schema.checks:
         message = c.test(values)
-        path = F.lit(prefix + schema.key(by_name[c.field]))
-        found = F.struct((F.lit(c.code) if c.code else message).alias("code"), path.alias("path"), F.create_map(F.lit("message"), message).alias("params"), F.lit(None).cast("string").alias("received"))
+        found = F.struct((F.lit(c.code) if c.code else message).alias("code"), joined(prefix, schema.key(by_name[c.field])).alias("path"), F.create_map(F.lit("message"), message).alias("params"), F.lit(None).cast("string").alias("received"))
         out.append(F.when(message.isNotNull(), F.array(found.cast(ISSUE))).otherwise(_none()))
     return out
 
 
+def checked(schema: Schema, values: dict[str, Column], prefix: Column | None = None) -> list[Column]:
+    """Issues of the checks of ``schema``, for values that have all required fields."""
+    found = check_issues(schema, values, prefix)
+    present = reduce(lambda a, f: a & values[f.name].isNotNull() if f.required else a, schema.active, F.lit(True))
+    return [F.when(present, F.concat(*found)).otherwise(_none())] if found else []
+
+
+def _within(type_, c: Column, path: Column) -> Column:
+    """Issues of the schemas that a value is or holds."""
+    kind, inner = opened(type_)
+    if kind == "schema":
+        return F.when(c.isNotNull(), F.concat(_none(), *_nested(inner, lambda n: c[n], path))).otherwise(_none())
+    if kind == "array":
+        each = lambda x, k: F.when(x.isNull(), F.array(issue("missing", at_index(path, k)))).otherwise(_within(inner, x, at_index(path, k)))
+        return F.coalesce(F.flatten(F.transform(c, each)), _none())
+    at = lambda e: F.concat(path, F.lit("."), e["key"])
+    each = lambda e: F.when(e["value"].isNull(), F.array(issue("missing", at(e)))).otherwise(_within(inner, e["value"], at(e)))
+    return F.coalesce(F.flatten(F.transform(F.map_entries(c), each)), _none())
+
+
 def _nested(schema: Schema, value, prefix: Column | None) -> list[Column]:
+    """Issues of the rules of all fields, of the schemas within them, and of the checks."""
     out = []
     for f in schema.active:
-        c = value(f.name)
-        key = F.lit(schema.key(f))
-        path = key if prefix is None else F.concat(prefix, F.lit("."), key)
-        if isinstance(f.type, Schema):
-            out += _nested(f.type, lambda n, c=c: c[n], path)
-            if f.required:
-                out.append(F.when(c.isNull(), F.array(issue("missing", path))).otherwise(_none()))
-            continue
+        c, path = value(f.name), joined(prefix, schema.key(f))
         if f.fallback is REQUIRED and f.transform is None:
-            out.append(rule_issues(f, c, path))
+            if f.checked:
+                out.append(rule_issues(f, c, path))
+            if holds_schema(f.type):
+                out.append(_within(f.type, c, path))
         if f.required:
             out.append(F.when(c.isNull(), F.array(issue("missing", path))).otherwise(_none()))
-    return out
+    return out + checked(schema, {f.name: value(f.name) for f in schema.active}, prefix)
 
 
 def annotate(df: DataFrame, schema: Schema, *, into: str = "_issues", path: Column | None = None, max_issues: int = 100) -> DataFrame:
     """``df`` with an array of at most ``max_issues`` issues per row, and ``<into>_truncated``.
 
-    Rules run on every field but those with a fallback or a transform; checks run on rows whose required
-    fields are there. Only columns and built-in functions: nothing is shuffled or leaves the JVM.
+    Rules run on every field but those with a fallback or a transform, and on the fields of schemas within structs,
+    arrays and maps; checks run where all required fields are there. A null that is optional has no issues, a null
+    element of an array or map of schemas is missing. Only columns and built-in functions: nothing is shuffled or leaves the JVM.
     """
-    values = {f.name: F.col(f.name) for f in schema.active}
-    present = F.lit(True)
-    for f in schema.active:
-        if f.required:
-            present = present & values[f.name].isNotNull()
-    found = _nested(schema, lambda n: F.col(n), path)
-    checks = check_issues(schema, values)
-    if checks:
-        found.append(F.when(present, F.concat(*checks)).otherwise(_none()))
+    found = _nested(schema, F.col, path)
     every = F.concat(*found) if found else _none()
     return df.withColumn(into, every).withColumn(f"{into}_truncated", F.size(into) > max_issues).withColumn(into, F.slice(into, 1, max_issues))
 
 
 def issues(df: DataFrame, schema: Schema, *keys: str, **options) -> DataFrame:
-    """One row per issue with ``keys``, its place in the row, and its fields."""
-    return annotate(df, schema, **options).select(*keys, F.posexplode("_issues").alias("seq", "issue")).select(*keys, "seq", "issue.*")
+    """One row per issue with ``keys``, its place in the row, its fields, and whether its row had more issues than are kept."""
+    return annotate(df, schema, **options).select(*keys, "_issues_truncated", F.posexplode("_issues").alias("seq", "issue")).select(*keys, "seq", "issue.*", F.col("_issues_truncated").alias("truncated"))
 
 
 def split(df: DataFrame, schema: Schema, **options) -> tuple[DataFrame, DataFrame]:
