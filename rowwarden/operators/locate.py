@@ -64,6 +64,30 @@ def json_places(doc: bytes, max_depth: int = 64, again: list[tuple[str, str]] |
     return found, _BLANK.match(doc, at).end()
 
 
+def json_members(doc: bytes, path: str = "") -> list[tuple[str, str]] | None:
+    """Keys and texts of the values of the object at ``path``, repeated ones too, in order; null if there is none."""
+    found, stop = json_places(doc, 1 << 16)
+    if stop is not None or path not in found or doc[found[path][0] : found[path][0] + 1] != b"{":
+        return None
+    begin, end = found[path]
+    out, at = [], begin + 1
+    while m := _TOKEN.match(doc, at, end - 1):
+        if m.lastindex == 2:
+            at = m.end()
+            continue
+        name, at = json.loads(m.group(1), strict=False), _TOKEN.match(doc, m.end(), end).end()
+        first = _BLANK.match(doc, at).end()
+        depth = 0
+        while m := _TOKEN.match(doc, at, end - 1):
+            mark = m.group(2)
+            if mark == b"," and not depth:
+                break
+            depth += (mark in (b"{", b"[")) - (mark in (b"}", b"]"))
+            at = m.end()
+        out.append((name, doc[first:at].decode()))
+    return out
+
+
 def xml_places(doc: bytes, max_depth: int = 64) -> tuple[dict[str, tuple[int, int]], int | None]:
     """As :func:`json_places` for XML: the content of elements and the values of attributes, without prefixes of names.
 
@@ -145,7 +169,7 @@ def place_column(document: Column, issues: Column, *, kind: str = "json", max_de
 
     failing = F.size(issues) > 0
     bytes_ = F.coalesce(F.when(failing, document.cast("binary")), F.lit(b""))
-    return F.arrow_udf(run, f"array<{PLACE}>")(bytes_, F.when(failing, F.transform(issues, lambda i: i["path"])))
+    return F.arrow_udf(run, f"array<{PLACE}>").asNondeterministic()(bytes_, F.when(failing, F.transform(issues, lambda i: i["path"])))
 
 
 def locate(df: DataFrame, column: str, *, issues: str = "_issues", kind: str = "json", max_depth: int = 64, excerpts: bool = False) -> DataFrame:

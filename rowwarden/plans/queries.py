@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import coerce, dates
 from ..functions.text import PREPROCESS, graphemes
-from ..operators import encode, render, validate
+from ..operators import encode, locate, render, validate
 from ..schema import ArrayOf, Check, Field, MapOf, Schema
-from ..sources import columnar, json
+from ..sources import columnar, json, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,3 +361,106 @@ def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = Schema("order", [Field("o_totalprice", "double", [R.max_(300000)])])
     rows = validate.annotate(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), schema)
     return rows.select("o_orderkey", render.report("orders", F.col("_issues")).alias("report"))
+
+
+_ORDER = """'{"note": "é", "key": ' || o_orderkey || ', "cust":  ' || o_custkey || ',@"priority": "' || o_orderpriority || '"}'"""
+_ORDER_SCHEMA = Schema("order", [Field("priority", "string", [R.one_of("1-URGENT", "2-HIGH")]), Field("key", "long"), Field("cust", "long", [R.range_(1, 700)])])
+
+
+@query(f"""SELECT o_orderkey, 'cust' AS path, 'not_in_range' AS code, CAST(strlen(substr(doc, 1, instr(doc, ':  ') + 2)) AS BIGINT) AS "offset", CAST(strlen(CAST(o_custkey AS VARCHAR)) AS BIGINT) AS length FROM (SELECT *, {_ORDER.replace('@', ' ')} AS doc FROM orders) WHERE o_custkey NOT BETWEEN 1 AND 700
+ UNION ALL SELECT o_orderkey, 'priority', 'not_one_of', CAST(strlen(substr(doc, 1, instr(doc, 'priority": ') + 10)) AS BIGINT), CAST(strlen(o_orderpriority) + 2 AS BIGINT) FROM (SELECT *, {_ORDER.replace('@', ' ')} AS doc FROM orders) WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')""")
+def issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the value that each issue is about."""
+    rows = json.decode(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER.replace("@", " ")).alias("doc")), _ORDER_SCHEMA, "doc")
+    return locate.locate(rows, "doc").select("o_orderkey", F.explode("_issues").alias("i")).select("o_orderkey", "i.path", "i.code", "i.offset", "i.length")
+
+
+_LINES = _ORDER.replace("@", "' || chr(10) || '")
+
+
+@query(f"""WITH d AS (SELECT *, {_LINES} AS doc FROM orders),
+i AS (SELECT o_orderkey, 'cust' AS path, 1 AS line, strlen(substr(doc, 1, instr(doc, ':  ') + 2)) + 1 AS col, '  1 │ ' || string_split(doc, chr(10))[1] || chr(10) || '    │ ' || repeat(' ', CAST(strlen(substr(doc, 1, instr(doc, ':  ') + 2)) AS INT)) || repeat('^', CAST(strlen(CAST(o_custkey AS VARCHAR)) AS INT)) || chr(10) || '  2 │ ' || string_split(doc, chr(10))[2] AS excerpt FROM d WHERE o_custkey NOT BETWEEN 1 AND 700
+ UNION ALL SELECT o_orderkey, 'priority', 2, 13, '  1 │ ' || string_split(doc, chr(10))[1] || chr(10) || '  2 │ ' || string_split(doc, chr(10))[2] || chr(10) || '    │ ' || repeat(' ', 12) || repeat('^', CAST(strlen(o_orderpriority) + 2 AS INT)) FROM d WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY line) - 1 AS INT) AS seq, path, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", excerpt FROM i""")
+def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, columns and excerpts of issues, in order of position and not of declaration."""
+    rows = json.decode(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_LINES.replace("chr(10)", "char(10)")).alias("doc")), _ORDER_SCHEMA, "doc")
+    found = locate.locate(rows, "doc", excerpts=True).select("o_orderkey", F.posexplode("_issues").alias("seq", "i"))
+    return found.select("o_orderkey", "seq", "i.path", "i.line", "i.column", "i.excerpt")
+
+
+_LINE = Schema("line", [Field("lineNumber", "long"), Field("quantity", "double", [R.range_(5, 45)]), Field("discount", "double", [R.max_(0.08)]), Field("tax", "double")], keys="snake", checks=[Check("tax", lambda r: F.when(r["tax"] > r["discount"], "is above the discount"), code="above_discount")])
+_LINES_OF = Schema("order", [Field("orderKey", "long"), Field("orderLines", ArrayOf(_LINE), [R.count(1, 6)]), Field("byNumber", MapOf(_LINE))], keys="snake")
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines in an array in order of number, and in a map by number."""
+    line = F.struct(F.col("l_linenumber").cast("long").alias("lineNumber"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("orderKey")).agg(F.sort_array(F.collect_list(line)).alias("orderLines"))
+    firsts = F.array_distinct(F.transform("orderLines", lambda x: x["lineNumber"]))
+    return rows.withColumn("byNumber", F.map_from_arrays(F.transform(firsts, lambda n: F.concat(F.lit("n"), n.cast("string"))), F.transform(firsts, lambda n: F.get(F.filter("orderLines", lambda x: x["lineNumber"] == n), F.lit(0)))))
+
+
+_NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax) - 1 AS k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount, l_tax) AS again FROM lineitem)"
+_PLACED = f"(SELECT *, 'order_lines[' || k || ']' AS spot FROM {_NUMBERED} UNION ALL SELECT *, 'by_number.n' || l_linenumber FROM {_NUMBERED} WHERE again = 1)"
+
+
+@query(f"""SELECT l_orderkey AS order_key, spot || '.quantity' AS path, 'not_in_range' AS code FROM {_PLACED} WHERE l_quantity NOT BETWEEN 5 AND 45 UNION ALL SELECT l_orderkey, spot || '.discount', 'too_large' FROM {_PLACED} WHERE l_discount > 0.08
+ UNION ALL SELECT l_orderkey, spot || '.tax', 'above_discount' FROM {_PLACED} WHERE l_tax > l_discount UNION ALL SELECT l_orderkey, 'order_lines', 'wrong_count' FROM lineitem GROUP BY l_orderkey HAVING count(*) > 6""")
+def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and checks of the lines of every order, in an array and in a map."""
+    found = validate.issues(_order_lines(spark, sf_dir), _LINES_OF, "orderKey", max_issues=2**31 - 1)
+    return found.select(F.col("orderKey").alias("order_key"), "path", "code")
+
+
+_SHOWN = "'{\"line_number\":' || l_linenumber || ',\"quantity\":' || CAST(l_quantity AS BIGINT) || ',\"discount\":' || CASE WHEN l_discount = 0 THEN '0' ELSE CAST(l_discount AS VARCHAR) END || ',\"tax\":' || CASE WHEN l_tax = 0 THEN '0' ELSE CAST(l_tax AS VARCHAR) END || '}'"
+
+
+@query(f"""SELECT l_orderkey AS order_key, '{{"order_key":' || l_orderkey || ',"order_lines":[' || string_agg({_SHOWN}, ',' ORDER BY k) || '],"by_number":{{' || string_agg('"n' || l_linenumber || '":' || {_SHOWN}, ',' ORDER BY 'n' || l_linenumber) FILTER (WHERE again = 1) || '}}}}' AS json FROM {_NUMBERED} GROUP BY l_orderkey""")
+def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON text of orders with their lines: keys, numbers and order of maps at every level."""
+    return encode.encode_json(_order_lines(spark, sf_dir), _LINES_OF).select(F.col("orderKey").alias("order_key"), "json")
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS n, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS made, CAST(0 AS BIGINT) AS refused FROM lineitem")
+def roundtrip_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is encoded reads back: orders that don't come back, and orders that come back changed."""
+    loose = Schema("order", [Field("orderKey", "long"), Field("orderLines", ArrayOf(Schema("line", [Field(f.name, f.type) for f in _LINE.fields], keys="snake"))), Field("byNumber", MapOf(Schema("line", [Field(f.name, f.type) for f in _LINE.fields], keys="snake")))], keys="snake")
+    rows = _order_lines(spark, sf_dir)
+    back = json.decode(encode.encode_json(rows, loose).select("json"), loose, "json").select("value.*", "_issues")
+    flat = lambda df, side: df.select("orderKey", "orderLines", F.array_sort(F.map_entries("byNumber")).alias("entries")).groupBy("orderKey", "orderLines", "entries").agg(F.sum(F.lit(side)).alias("n"))
+    both = flat(rows, 1).union(flat(back, -1)).groupBy("orderKey", "orderLines", "entries").agg(F.sum("n").alias("n"))
+    counted = both.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("made"))
+    total = back.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.size("_issues") > 0, 1).otherwise(0)), F.lit(0)).alias("refused"))
+    return total.join(counted, F.lit(True)).select("n", "lost", "made", "refused")  # one row each
+
+
+_KEYS = """'{"é": ' || c_custkey || ', "a\\\\"b": "' || c_name || '", "m": {"k": 1, "x": ' || c_nationkey || ', "k": ' || c_nationkey || '}, "é": ' || (c_custkey + 1) || CASE WHEN c_custkey % 3 = 0 THEN '}' ELSE ', "q?": [' || c_custkey || ', ' || c_custkey || '.5]}' END"""
+
+
+@query("SELECT c_custkey, CAST(c_custkey + 1 AS BIGINT) AS e, c_name AS quoted, CAST(c_nationkey AS BIGINT) AS k, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey + 0.5 AS DOUBLE) END AS q FROM customer")
+def decode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of any characters, and the last value of those that repeat, in structs and in maps."""
+    schema = Schema("keys", [Field("e", "long", key="é"), Field("quoted", "string", key='a"b'), Field("m", MapOf("long")), Field("q", "array<double>", key="q?", optional=True)])
+    rows = json.decode(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_KEYS).alias("doc")), schema, "doc")
+    return rows.select("c_custkey", "value.e", "value.quoted", F.element_at("value.m", "k").alias("k"), F.get("value.q", F.lit(1)).alias("q"))
+
+
+@query("SELECT c_custkey, unnest(['m.k', 'é']) AS path, unnest(['k', 'é']) AS received FROM customer")
+def decode_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key that its object repeats."""
+    rows = json.repeated_keys(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_KEYS).alias("doc")), "doc")
+    return rows.select("c_custkey", F.explode("_repeated").alias("i")).select("c_custkey", "i.path", "i.received")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'int' AS kind, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS BIGINT) AS whole, event_id + 0.5 AS half, event_type AS second, event_id || ',2' AS every, event_id % 2 = 0 AS absent FROM events""")
+def value_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed reading along paths of keys and indexes: no integer from a double, no text from a number, all values of a repeated key."""
+    made = F.expr("""'{"p": ' || props || ', "a": [' || event_id || '.5, {"b": [null, "' || event_type || '"]}], "r": ' || event_id || ', "r": 2' || CASE WHEN event_id % 2 = 0 THEN '}' ELSE ', "z": null}' END""")
+    rows = table(spark, sf_dir, "events").select("event_id", made.alias("doc"))
+    v = F.col("v")
+    half = values.at(v, "a", 0)
+    return values.parse(rows, "doc", "v").select(
+        "event_id", values.as_int(values.at(v, "p", "k")).alias("k"), values.kind(values.at(v, "p", "k")).alias("kind"), values.as_string(values.at(v, "r")).alias("text"), values.as_int(half).alias("whole"), values.as_double(half).alias("half"),
+        values.as_string(values.at(v, "a", 1, "b", 1)).alias("second"), F.array_join(F.transform(values.all_of(F.col("doc"), "", "r"), values.as_int), ",").alias("every"), (~values.is_null(values.at(v, "z"))).alias("absent"),
+    )
