@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import coerce, dates
 from ..functions.text import PREPROCESS, graphemes
 from ..operators import encode, locate, render, validate
 from ..schema import ArrayOf, Check, Field, MapOf, Schema
-from ..sources import columnar, json, values
+from ..sources import columnar, json, values, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -464,3 +465,22 @@ def value_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", values.as_int(values.at(v, "p", "k")).alias("k"), values.kind(values.at(v, "p", "k")).alias("kind"), values.as_string(values.at(v, "r")).alias("text"), values.as_int(half).alias("whole"), values.as_double(half).alias("half"),
         values.as_string(values.at(v, "a", 1, "b", 1)).alias("second"), F.array_join(F.transform(values.all_of(F.col("doc"), "", "r"), values.as_int), ",").alias("every"), (~values.is_null(values.at(v, "z"))).alias("absent"),
     )
+
+
+_BOX = Schema("order", [Field("id", "long", xml="attribute"), Field("status", "string", [R.one_of("O", "F")]), Field("total", Schema("total", [Field("unit", "string", xml="attribute"), Field("cents", "long", xml="text")])), Field("keys", "array<long>", xml="wrapped"), Field("tag", "array<string>"), Field("byName", MapOf("long"))], keys="snake")
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS status, CAST(round(o_totalprice) AS BIGINT) AS cents, 'u' AS unit, o_custkey || ',' || o_orderkey AS keys, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE '' END AS tags, CAST(o_custkey AS BIGINT) AS named, o_orderkey % 5 = 0 AS refused
+ FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_orderstatus IN ('O', 'F'))""")
+def decode_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as XML and read back by placement; every fifth has its status where no field is."""
+    k = F.col("o_orderkey").cast("long")
+    total = F.struct(F.lit("u").alias("unit"), F.expr("cast(round(o_totalprice) as bigint)").alias("cents"))
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "F")).select(
+        k.alias("id"), F.col("o_orderstatus").alias("status"), total.alias("total"), F.array(F.col("o_custkey").cast("long"), k).alias("keys"),
+        F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("tag"), F.create_map(F.lit("n"), F.col("o_custkey").cast("long")).alias("byName"),
+    )
+    text = encode.encode_xml(rows, _BOX).select("id", F.when(F.col("id") % 5 == 0, F.replace("xml", F.lit("status>"), F.lit("state>"))).otherwise(F.col("xml")).alias("xml"))
+    loose = Schema("order", [replace(f, optional=True, rules=()) if f.name == "status" else replace(f, default=[]) if f.name == "tag" else f for f in _BOX.fields], keys="snake")
+    v = xml.decode(text, loose, "xml").select("value.*")
+    return v.select("id", "status", "total.cents", "total.unit", F.array_join("keys", ",").alias("keys"), F.array_join("tag", ",").alias("tags"), F.col("byName")["n"].alias("named"), F.col("status").isNull().alias("refused"))
