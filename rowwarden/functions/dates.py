@@ -17,17 +17,12 @@ def _int(c: Column) -> Column:
 
 
 def _seconds(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    """Epoch seconds of a civil time; second 60 carries. Null for days and times that don't exist."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    last = F.when(mo == 2, F.when(leap, 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = mo.between(1, 12) & (d >= 1) & (d <= last) & (h <= 23) & (mi <= 59) & (s <= 60)
-    # Days from the civil calendar, with years that begin in March.
-    year = F.when(mo <= 2, y - 1).otherwise(y)
-    era = F.floor(year / 400)
-    of_era = year - era * 400
-    day = F.floor((153 * (mo + F.when(mo > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    days = era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + day - 719468
-    return F.when(valid, days * 86400 + h * 3600 + mi * 60 + s)
+    """Epoch seconds of a civil time in UTC; second 60 carries. Null for days and times that don't exist.
+
+    Each part is written once: parts are expressions of the text, and a calendar that names them again and again
+    would evaluate them as often.
+    """
+    return F.unix_seconds(F.try_make_timestamp(y, mo, d, h, mi, s, F.lit("UTC")))
 
 
 def iso8601(c: Column) -> Column:
@@ -48,6 +43,39 @@ def iso8601(c: Column) -> Column:
     return F.when(c.rlike(_ISO) & (hours <= 23) & (minutes <= 59), (at - offset).cast("double") + fraction)
 
 
+#: What stands at each place of an ISO 8601 time, for the reason why one can't be read.
+_PLACES = [("a year of 4 digits", r"\d", 4), ("-", "-", 1), ("a month of 2 digits", r"\d", 2), ("-", "-", 1), ("a day of 2 digits", r"\d", 2), ("T", "[Tt ]", 1), ("an hour of 2 digits", r"\d", 2), (":", ":", 1), ("a minute of 2 digits", r"\d", 2), (":", ":", 1), ("a second of 2 digits", r"\d", 2)]
+
+
+def iso_stop(c: Column) -> tuple[Column, Column]:
+    """Where and why reading a time as ISO 8601 stops: a place in characters from 0, and a reason; null for one that can be read."""
+    pieces = [p for _, p, n in _PLACES for _ in range(n)]
+    nested = r"(?:(?:\.\d+)?(?:[Zz]|[+-](?:\d(?:\d:?)?)?)?)?"
+    for piece in reversed(pieces):
+        nested = f"(?:{piece}{nested})?"
+    at = F.length(F.regexp_extract(c, f"^{nested}", 0))
+    begins, wanted, k = [], [], 0
+    for name, _, n in _PLACES:
+        begins.append(k)
+        wanted.append(name)
+        k += n
+    shape = F.lit("expected a zone")
+    for begin, name in zip(begins, wanted, strict=True):
+        end = begin + next(n for (b, (_, _, n)) in zip(begins, _PLACES, strict=True) if b == begin)
+        shape = F.when(at.between(begin, end - 1), f"expected {name}").otherwise(shape)
+    part = lambda p, n: F.substring(c, p, n)
+    limits = [(5, "month", part(6, 2), ~_int(part(6, 2)).between(1, 12)), (8, "day", part(9, 2), F.lit(True)), (11, "hour", part(12, 2), _int(part(12, 2)) > 23), (14, "minute", part(15, 2), _int(part(15, 2)) > 59), (17, "second", part(18, 2), _int(part(18, 2)) > 60)]
+    no_day = F.try_make_timestamp(_int(part(1, 4)), _int(part(6, 2)), _int(part(9, 2)), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")).isNull()
+    place, why = F.lit(20), F.lit("the zone is out of range")
+    for p, name, text, wrong in reversed(limits):
+        test = no_day if name == "day" else wrong
+        place = F.when(test, p).otherwise(place)
+        why = F.when(test, F.concat(F.lit(f"{name} "), text, F.lit(" is out of range"), *([F.lit(" for "), part(1, 7)] if name == "day" else []))).otherwise(why)
+    bad = iso8601(c).isNull() & c.isNotNull()
+    after = c.rlike(_ISO[:-2])  # the shape is whole, and more follows
+    return F.when(bad, F.when(c.rlike(_ISO), place).otherwise(at)), F.when(bad, F.when(c.rlike(_ISO), why).when(after, "expected the end").otherwise(shape))
+
+
 def unix_seconds(c: Column) -> Column:
     x = F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), c.try_cast("double"))
     return F.when(F.abs(x) <= 2.0**53, x)
@@ -96,6 +124,7 @@ def pattern(format_: str):
         at = _seconds(*[value.get(n, zero) for n in ("yyyy", "MM", "dd", "HH", "mm", "ss")])
         return F.when(c.rlike(expression), at.cast("double") + value.get("SSS", zero) / 1000)
 
+    parse.format = format_
     return parse
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,24 @@ def graphemes(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x0C\x0E-\x7F]*\z"), F.length(text)).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))))
 
 
+def invalid_utf8_at(data: Column) -> Column:
+    """The first byte of a binary value that can't be read as UTF-8, from 0: overlong forms, surrogates and values beyond the
+    last character too. Null where all can. Only values that aren't valid leave the JVM."""
+
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def one(value: bytes | None) -> int | None:
+            try:
+                value and value.decode()
+            except UnicodeDecodeError as e:
+                return e.start
+            return None
+
+        for values in batches:
+            yield pa.array([one(v) for v in values.to_pylist()], pa.int64())
+
+    return F.arrow_udf(first, "bigint").asNondeterministic()(F.when(~F.is_valid_utf8(data.cast("string")), data))
+
+
 #: Steps of preprocessing; all touch ASCII only.
 PREPROCESS: dict[str, Callable[[Column], Column]] = {
     "trim": lambda c: F.regexp_replace(c, r"^[ \t\n\r]+|[ \t\n\r]+\z", ""),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..rules import ISSUE, issue
@@ -120,6 +121,52 @@ def capped(found: DataFrame, *order: str, max_issues: int = 100) -> tuple[DataFr
     return found.orderBy(*order, "seq").limit(max_issues), found.limit(max_issues + 1).count() > max_issues
 
 
+@dataclass(frozen=True)
+class Batch:
+    """The first issues and the first warnings of a batch in order of its rows, and how many there are in all."""
+
+    issues: list
+    warnings: list
+    n_issues: int
+    n_warnings: int
+    n_rows: int
+    n_failed: int
+
+    @property
+    def issues_truncated(self) -> bool:
+        return self.n_issues > len(self.issues)
+
+    @property
+    def warnings_truncated(self) -> bool:
+        return self.n_warnings > len(self.warnings)
+
+
+def collect_batch(df: DataFrame, *order: str, issues: str = "_issues", warnings: str | None = None, max_issues: int = 100, max_warnings: int = 100) -> Batch:
+    """Issues of a batch of rows with an ``issues`` column, in order of the columns ``order``, each kind up to its own limit.
+
+    One pass: rows are counted as they go by, and of each task only its first ``max_issues`` rows with issues, and
+    ``max_warnings`` with warnings, meet those of the others; nothing is sorted as a whole. Rows that are equal in ``order``
+    come in order of their issues.
+    """
+    seen = Observation()
+    warned = F.col(warnings) if warnings else F.array().cast(EMPTY)
+    count = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    slim = df.select(*order, F.col(issues).alias("_i"), warned.alias("_w"))
+    slim = slim.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(F.size("_i") > 0, 1).otherwise(0)), F.lit(0)).alias("failed"), count("_i").alias("issues"), count("_w").alias("warnings"))
+    kinds = F.array(F.struct(F.lit("issue").alias("kind"), F.lit(max_issues).alias("most"), F.slice("_i", 1, max(1, max_issues)).alias("found")), F.struct(F.lit("warning").alias("kind"), F.lit(max_warnings).alias("most"), F.slice("_w", 1, max(1, max_warnings)).alias("found")))
+    each = slim.select(*order, F.explode(kinds).alias("k")).select(*order, "k.*").where(F.size("found") > 0)
+    first = Window.partitionBy("kind").orderBy(*order, F.to_json("found"))
+    kept = each.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(max_issues, max_warnings, 1))
+    # Of few rows now: those that begin below the limit of their kind.
+    before = F.sum(F.size("found")).over(Window.partitionBy("kind").orderBy("_n")) - F.size("found")
+    kept = kept.withColumn("_before", before).where(F.col("_before") < F.col("most"))
+    rows = kept.select("kind", "most", "_n", *order, F.posexplode("found").alias("seq", "issue")).select("kind", "most", "_n", *order, "seq", "issue.*").collect()
+    drop = {"kind", "most", "_n"}
+    picked = {kind: [{k: v for k, v in r.asDict(True).items() if k not in drop} for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["_n"], r["seq"]))][:most] for kind, most in (("issue", max_issues), ("warning", max_warnings))}
+    total = seen.get
+    return Batch(picked["issue"], picked["warning"], total["issues"], total["warnings"], total["rows"], total["failed"])
+
+
 class InvalidRows(ValueError):
     """Rows broke the schema; ``issues`` holds the first of what was found."""
 

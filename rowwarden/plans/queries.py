@@ -8,9 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import manifest
 from .. import rules as R
 from ..functions import coerce, dates
-from ..functions.text import PREPROCESS, graphemes
+from ..functions.text import PREPROCESS, graphemes, invalid_utf8_at
 from ..operators import encode, locate, render, validate
 from ..schema import ArrayOf, Check, Field, MapOf, Schema
 from ..sources import columnar, json, values, xml
@@ -484,3 +485,42 @@ def decode_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = Schema("order", [replace(f, optional=True, rules=()) if f.name == "status" else replace(f, default=[]) if f.name == "tag" else f for f in _BOX.fields], keys="snake")
     v = xml.decode(text, loose, "xml").select("value.*")
     return v.select("id", "status", "total.cents", "total.unit", F.array_join("keys", ",").alias("keys"), F.array_join("tag", ",").alias("tags"), F.col("byName")["n"].alias("named"), F.col("status").isNull().alias("refused"))
+
+
+@query(codes("lineitem", "l_orderkey", ("l_quantity", "not_in_range", "l_quantity NOT BETWEEN 5 AND 45"), ("l_returnflag", "not_one_of", "l_returnflag NOT IN ('A', 'N')"), ("l_shipdate", "date_not_after", "NOT l_shipdate > TIMESTAMP '1993-01-01'"), ("l_tax", "too_large", "l_tax > 0.05")))
+def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines validated by the contract that their table's own columns carry, read back from text."""
+    schema = Schema("line", [Field("l_quantity", "double", [R.range_(5, 45)]), Field("l_returnflag", "string", [R.one_of("A", "N")]), Field("l_shipdate", "timestamp", [R.all_(R.after("1993-01-01T00:00:00Z"))]), Field("l_tax", "double", [R.max_(0.05).or_("is too high")], default=0.0)])
+    rows = manifest.attach(table(spark, sf_dir, "lineitem"), manifest.loads(manifest.dumps(schema)))
+    return validate.issues(rows, manifest.attached(rows), "l_orderkey").select("l_orderkey", "path", "code")
+
+
+@query("""WITH i AS (SELECT o_orderkey, 'o_totalprice' AS path, 0 AS f FROM orders WHERE o_totalprice < 50000 UNION ALL SELECT o_orderkey, 'o_custkey', 1 FROM orders WHERE o_custkey % 2 = 0)
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY f) - 1 AS INT) AS seq, path, (SELECT count(*) FROM i) AS n_issues, (SELECT count(*) FROM orders) AS n_rows, (SELECT count(DISTINCT o_orderkey) FROM i) AS n_failed, (SELECT count(*) FROM i) > 50 AS truncated FROM i ORDER BY o_orderkey, f LIMIT 50""")
+def issues_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty issues of the table in order of its keys (the limit is the feature), with the counts of all of them."""
+    schema = Schema("order", [Field("o_totalprice", "double", [R.min_(50000)]), Field("o_custkey", "long", [R.multiple_of(2).or_("odd")])])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") + 1).alias("o_custkey"))
+    found = validate.collect_batch(validate.annotate(rows, schema), "o_orderkey", max_issues=50)
+    listed = spark.createDataFrame([(r["o_orderkey"], r["seq"], r["path"]) for r in found.issues], "o_orderkey bigint, seq int, path string")
+    return listed.select("*", F.lit(found.n_issues).cast("long").alias("n_issues"), F.lit(found.n_rows).cast("long").alias("n_rows"), F.lit(found.n_failed).cast("long").alias("n_failed"), F.lit(found.issues_truncated).alias("truncated"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CAST(strlen(text[1:length(text) // 2]) AS BIGINT) END AS at FROM documents WHERE text IS NOT NULL")
+def utf8_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first byte that isn't UTF-8, in texts broken in the middle; every third is whole."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    bad = F.when(F.col("doc_id") % 3 == 1, F.lit(b"\xff")).when(F.col("doc_id") % 3 == 2, F.lit(b"\xed\xa0\x80")).otherwise(F.lit(b""))
+    data = F.concat(F.substring("text", F.lit(1), half).cast("binary"), bad, F.substring("text", half + 1, F.length("text")).cast("binary"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", invalid_utf8_at(data).alias("at"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 8 WHEN 4 THEN 19 ELSE 2 END AS place,
+ CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'expected T' WHEN 2 THEN 'month 13 is out of range' WHEN 3 THEN 'day 32 is out of range for ' || strftime(o_orderdate, '%Y-%m') WHEN 4 THEN 'expected a zone' ELSE 'expected a year of 4 digits' END AS reason FROM orders""")
+def date_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where and why a text isn't a time in ISO 8601."""
+    at = lambda form: F.date_format("o_orderdate", form)
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "yyyy-'13'-dd'T'HH:mm:ss'Z'", "yyyy-MM-'32T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy"]
+    text = F.element_at(F.array(*map(at, forms)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    place, reason = dates.iso_stop(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place"), reason.alias("reason"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ class Rule:
     inner: tuple = ()
     each: bool = False
     hint: Callable[[Column], Column] | None = None
+    made: tuple = ()
 
     def or_(self, message: str) -> Rule:
         """The same rule with a message of its own."""
@@ -63,22 +65,36 @@ def _rule(code: str, params: dict | None = None, **violated: Callable[[Column],
     return Rule(code, violated, tuple((params or {}).items()))
 
 
+def named(builder: Callable[..., Rule]) -> Callable[..., Rule]:
+    """A builder whose rules remember its name and arguments, so that a manifest can hold them."""
+
+    @wraps(builder)
+    def make(*args) -> Rule:
+        return replace(builder(*args), made=(builder.__name__, args))
+
+    return make
+
+
 def _real(c: Column) -> Column:
     return ~F.isnan(c.cast("double"))
 
 
+@named
 def min_(n) -> Rule:
     return _rule("too_small", {"minimum": n}, string=lambda c: graphemes(c) < n, number=lambda c: c < n, array=lambda c: F.size(c) < n)
 
 
+@named
 def max_(n) -> Rule:
     return _rule("too_large", {"maximum": n}, string=lambda c: graphemes(c) > n, number=lambda c: (c > n) & _real(c), array=lambda c: F.size(c) > n)
 
 
+@named
 def range_(a, b) -> Rule:
     return _rule("not_in_range", {"minimum": a, "maximum": b}, number=lambda c: _real(c) & ~c.between(a, b))
 
 
+@named
 def length(n: int) -> Rule:
     return _rule("wrong_length", {"length": n}, string=lambda c: graphemes(c) != n)
 
@@ -86,6 +102,7 @@ def length(n: int) -> Rule:
 not_empty = _rule("empty", string=lambda c: c == "", array=lambda c: F.size(c) == 0)
 
 
+@named
 def regex(pattern: str) -> Rule:
     """Some part of the text matches; a pattern that doesn't compile is an error of declaration."""
     try:
@@ -104,18 +121,22 @@ trimmed = _rule("not_trimmed", string=lambda c: ~formats.is_trimmed(c))
 lowercased = _rule("not_lowercased", string=lambda c: ~formats.is_lowercased(c))
 
 
+@named
 def prefix(s: str) -> Rule:
     return _rule("missing_prefix", {"prefix": s}, string=lambda c: ~c.startswith(s))
 
 
+@named
 def suffix(s: str) -> Rule:
     return _rule("missing_suffix", {"suffix": s}, string=lambda c: ~c.endswith(s))
 
 
+@named
 def contains(s: str) -> Rule:
     return _rule("missing_substring", {"substring": s}, string=lambda c: ~c.contains(s))
 
 
+@named
 def one_of(*options) -> Rule:
     return _rule("not_one_of", {"options": ", ".join(f'"{o}"' if isinstance(o, str) else str(o) for o in options)}, string=lambda c: ~c.isin(*options), number=lambda c: ~c.isin(*options))
 
@@ -129,6 +150,7 @@ def nearest(value: Column, options: Sequence[str]) -> Column:
     return F.when(best["d"].between(1, limit), best["o"])
 
 
+@named
 def variant_of(*options: str) -> Rule:
     """A closed set of texts, with the nearest one as a hint."""
     rule = _rule("unknown_variant", {"options": ", ".join(options)}, string=lambda c: ~c.isin(*options))
@@ -141,6 +163,7 @@ non_negative = _rule("negative", number=lambda c: c < 0)
 finite = _rule("not_finite", number=lambda c: ~_real(c) | (F.abs(c.cast("double")) == float("inf")))
 
 
+@named
 def multiple_of(m) -> Rule:
     """The remainder is nothing or all of ``m``, within 1e-9; every value is a multiple of zero."""
 
@@ -151,6 +174,7 @@ def multiple_of(m) -> Rule:
     return _rule("not_multiple", {"multipleOf": m}, number=violated)
 
 
+@named
 def count(a: int, b: int | None = None) -> Rule:
     b = a if b is None else b
     return _rule("wrong_count", {"minimum": a, "maximum": b}, array=lambda c: ~F.size(c).between(a, b))
@@ -176,17 +200,20 @@ def _instant(iso: str) -> Column:
     return F.timestamp_seconds(F.lit(at.timestamp()))
 
 
+@named
 def before(iso: str) -> Rule:
     bound = iso
     _check_bounds(iso)
     return _rule("date_not_before", {"bound": bound}, date=lambda c: ~(c < _instant(iso)))
 
 
+@named
 def after(iso: str) -> Rule:
     _check_bounds(iso)
     return _rule("date_not_after", {"bound": iso}, date=lambda c: ~(c > _instant(iso)))
 
 
+@named
 def between(lo: str, hi: str) -> Rule:
     _check_bounds(lo, hi)
     return _rule("date_not_between", {"minimum": lo, "maximum": hi}, date=lambda c: ~c.between(_instant(lo), _instant(hi)))
@@ -203,3 +230,8 @@ def _check_bounds(*bounds: str) -> None:
 def flat(rules: Sequence[Rule]) -> list[Rule]:
     """Rules with conjunctions opened."""
     return [x for r in rules for x in (flat(r.inner) if r.inner and not r.each else [r])]
+
+
+#: Rules without arguments, by the names under which manifests hold them.
+CONSTANTS = {"not_empty": not_empty, "email": email, "hostname": hostname, "url": url, "uuid": uuid, "ascii_": ascii_, "trimmed": trimmed, "lowercased": lowercased, "positive": positive, "negative": negative, "non_negative": non_negative, "finite": finite, "unique": unique}
+BUILDERS = {f.__name__: f for f in (min_, max_, range_, length, regex, prefix, suffix, contains, one_of, variant_of, multiple_of, count, before, after, between)}

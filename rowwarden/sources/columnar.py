@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import PREPROCESS
 from ..operators.validate import _none, rule_issues
 from ..rules import SchemaError, issue
 from ..schema import REQUIRED, SCALARS, Schema
@@ -63,7 +64,7 @@ def missing_values(df: DataFrame, schema: Schema, *keep: str) -> DataFrame:
 def batch(df: DataFrame, schema: Schema, *keep: str) -> tuple[DataFrame, list[dict]]:
     """Typed values with ``_issues`` and ``_warnings``, and one ``missing_column`` per absent required column.
 
-    With one of those there are no values. A null takes the default; a value that doesn't narrow exactly reads
+    Texts are preprocessed first; transforms come last, after the rules. With a missing column there are no values. A null takes the default; a value that doesn't narrow exactly reads
     as missing. Rows that lack a required value go; rows that break rules stay, with their issues.
     """
     plan = bind(df, schema)
@@ -77,6 +78,8 @@ def batch(df: DataFrame, schema: Schema, *keep: str) -> tuple[DataFrame, list[di
         kind = f.spark_type()
         raw: Column = F.col(f"_{at}") if at >= 0 else F.lit(None).cast(kind)
         value = _narrowed(raw, kind, df.schema[at].dataType if at >= 0 else None)
+        for step in f.preprocess:
+            value = PREPROCESS[step](value)
         if f.default is not REQUIRED:
             value = F.when(raw.isNull(), F.lit(f.default).cast(kind)).otherwise(value)
         bad = rule_issues(f, value, F.lit(schema.key(f)))
@@ -88,6 +91,6 @@ def batch(df: DataFrame, schema: Schema, *keep: str) -> tuple[DataFrame, list[di
             found.append(bad)
         if f.required:
             present = present & value.isNotNull()
-        out.append(value.alias(f.name))
+        out.append((f.transform(value) if f.transform else value).alias(f.name))
     every = F.concat(*found) if found else _none()
     return unique.where(present).select(*out, every.alias("_issues"), (F.concat(*warned) if warned else _none()).alias("_warnings")), []
