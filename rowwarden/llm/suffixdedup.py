@@ -31,7 +31,7 @@ LENGTH = 200
 #: Bytes that one numpy pass of a long text covers.
 PIECE = 4 << 20
 #: Suffixes of one sorted run, bytes of one range of the merge, and ranges at most; larger inputs get larger ranges.
-RUN_ITEMS, RANGE_BYTES, MAX_RANGES = 200_000, 6 << 20, 1 << 12
+RUN_ITEMS, RANGE_BYTES, MAX_RANGES = 50_000, 6 << 20, 1 << 12
 #: One suffix in so many is a candidate for a border of ranges; as many are taken for each range.
 SAMPLED, PER_RANGE = 256, 16
 
