@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _ISO = r"^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(\.\d+)?(?:[Zz]|([+-])(\d{2}):?(\d{2})?)\z"
+#: The same with an offset that exists.
+_ZONED = _ISO.replace(r"([+-])(\d{2}):?(\d{2})?", r"[+-](?:[01]\d|2[0-3]):?(?:[0-5]\d)?")
 
 
 def _int(c: Column) -> Column:
@@ -32,15 +34,11 @@ def iso8601(c: Column) -> Column:
     """
     part = lambda at, n: _int(F.substring(c, at, n))
     at = _seconds(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2))
-    rest = F.substring(c, 20, 2**31 - 1)
-    utc = F.upper(F.right(rest, F.lit(1))) == "Z"
-    zone = F.when(~utc, F.regexp_extract(rest, r"[+-][\d:]+\z", 0)).otherwise("")
-    minutes = _int(F.right(F.replace(zone, F.lit(":"), F.lit("")), F.lit(2)))
-    minutes = F.when(F.length(zone) >= 5, minutes).otherwise(0)
-    hours = _int(F.substring(zone, 2, 2))
-    offset = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    fraction = F.when(F.startswith(rest, F.lit(".")), F.concat(F.lit("0"), F.regexp_extract(rest, r"^\.\d+", 0)).try_cast("double")).otherwise(0.0)
-    return F.when(c.rlike(_ISO) & (hours <= 23) & (minutes <= 59), (at - offset).cast("double") + fraction)
+    # An offset of hours and minutes as one number, 530 for +05:30: 36 times it and 24 times its minutes are its seconds.
+    zone = F.rpad(F.translate(F.regexp_extract(c, r"[+-]\d{2}:?(?:\d{2})?\z", 0), ":", ""), 5, "0").try_cast("int")
+    offset = F.when(F.endswith(c, F.lit("Z")) | F.endswith(c, F.lit("z")), 0).otherwise(zone * 36 + zone % 100 * 24)
+    fraction = F.when(F.substring(c, 20, 1) == ".", F.concat(F.lit("0"), F.regexp_extract(c, r"\.\d+", 0)).try_cast("double")).otherwise(0.0)
+    return F.when(c.rlike(_ZONED), (at - offset).cast("double") + fraction)
 
 
 #: What stands at each place of an ISO 8601 time, for the reason why one can't be read.
@@ -93,14 +91,12 @@ def http_date(c: Column) -> Column:
     fix = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{{2}} {month} \d{{4}} \d{{2}}:\d{{2}}:\d{{2}} GMT\z"
     old = rf"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, \d{{2}}-{month}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}} GMT\z"
     asc = rf"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) {month} [ \d]\d \d{{2}}:\d{{2}}:\d{{2}} \d{{4}}\z"
-    # Once a form is known, its parts stand at fixed places: of day, month, year, hour, minute and second.
-    form = F.when(c.rlike(fix), 1).when(c.rlike(old), 2).when(c.rlike(asc), 3)
-    text = F.when(form == 2, F.substring_index(c, ", ", -1)).otherwise(c)
-    part = lambda a, b, d, n=2: F.when(form == 1, F.substring(text, a, n)).when(form == 2, F.substring(text, b, n)).otherwise(F.substring(text, d, n))
-    yy = _int(F.substring(text, 8, 2))
-    year = F.when(form == 1, _int(F.substring(text, 13, 4))).when(form == 2, yy + F.when(yy >= 70, 1900).otherwise(2000)).otherwise(_int(F.substring(text, 21, 4)))
-    at = _seconds(year, number(part(9, 4, 5, 3)), _int(F.trim(part(6, 1, 9))), _int(part(18, 11, 12)), _int(part(21, 14, 15)), _int(part(24, 17, 18)))
-    return F.when(form.isNotNull(), at.cast("double"))
+    # Once a form is known, its parts stand at fixed places, in the obsolete form from the end: day, month, year, hour, minute, second.
+    part = lambda at, n=2: _int(F.trim(F.substring(c, at, n)))
+    month_at = lambda at: number(F.substring(c, at, 3))
+    seconds = lambda y, mo, d, h: _seconds(y, month_at(mo), part(d), part(h), part(h + 3), part(h + 6)).cast("double")
+    century = F.when(part(-15) >= 70, 1900).otherwise(2000)
+    return F.when(c.rlike(fix), seconds(part(13, 4), 9, 6, 18)).when(c.rlike(old), seconds(part(-15) + century, -19, -22, -12)).when(c.rlike(asc), seconds(part(21, 4), 5, 9, 12))
 
 
 def pattern(format_: str):

@@ -209,15 +209,16 @@ def dates_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.concat(at, F.when(F.col("o_orderkey") % 3 == 0, "+02:00").otherwise("z"))
     broken = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(text)
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.iso8601(text).alias("iso"), dates.iso8601(broken).isNotNull().alias("ok"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), broken.alias("broken"))
+    return rows.select("o_orderkey", dates.iso8601(F.col("text")).alias("iso"), dates.iso8601(F.col("broken")).isNotNull().alias("ok"))
 
 
 @query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS at, o_orderkey % 4 <> 0 AS late FROM orders")
 def dates_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
     text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 2, F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"))
-    value, late = dates.chain(text, (dates.iso8601, dates.http_date, dates.unix_seconds, dates.pattern("dd/MM/yyyy HH:mm:ss")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("at"), late.alias("late"))
+    value, late = dates.chain(F.col("text"), (dates.iso8601, dates.http_date, dates.unix_seconds, dates.pattern("dd/MM/yyyy HH:mm:ss")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", value.alias("at"), late.alias("late"))
 
 
 @query(r"SELECT conv_id, turn, translate(regexp_replace(regexp_replace('  ' || text || chr(10), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g'), '[ \t\n\r]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM conversations")
@@ -332,7 +333,8 @@ def dates_other_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp")
     old, asc = F.date_format(at, "EEEE, dd-MMM-yy HH:mm:ss 'GMT'"), F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
     millis = (F.unix_seconds(at) * 1000).cast("string")
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.http_date(old).alias("old"), dates.http_date(asc).alias("asc"), dates.unix_millis(millis).alias("millis"), dates.iso_text(F.unix_seconds(at)).alias("iso"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", old.alias("old"), asc.alias("asc"), millis.alias("millis"), dates.iso_text(F.unix_seconds(at)).alias("iso"))
+    return rows.select("o_orderkey", dates.http_date(F.col("old")).alias("old"), dates.http_date(F.col("asc")).alias("asc"), dates.unix_millis(F.col("millis")).alias("millis"), "iso")
 
 
 @query("SELECT c_custkey, unnest(list_filter(['a:empty', CASE WHEN c_custkey % 2 = 0 THEN 'b:too_small' END, CASE WHEN c_custkey % 2 = 0 THEN 'b:wrong_length' END], lambda x: x IS NOT NULL AND (x <> 'a:empty' OR c_custkey % 4 = 0))) AS found FROM customer")
