@@ -100,14 +100,20 @@ def http_date(c: Column) -> Column:
 
 
 def pattern(format_: str):
-    """A parser of a fixed pattern of yyyy MM dd HH mm ss SSS, quoted and other literals; UTC."""
+    """A parser of a fixed pattern of yyyy MM dd HH mm ss SSS Z, quoted and other literals; UTC without a zone.
+
+    ``Z`` is z in either case, or an offset with its minutes.
+    """
     if not all(x in format_ for x in ("yyyy", "MM", "dd")):
         raise ValueError("a date pattern needs yyyy, MM and dd")
     names, out = [], []
-    for m in re.finditer(r"yyyy|MM|dd|HH|mm|ss|SSS|''|'([^']*)'|.", format_):
+    for m in re.finditer(r"yyyy|MM|dd|HH|mm|ss|SSS|Z|''|'([^']*)'|.", format_):
         if m.group() in ("yyyy", "MM", "dd", "HH", "mm", "ss", "SSS"):
             names.append(m.group())
             out.append(rf"(\d{{{len(m.group())}}})")
+        elif m.group() == "Z":
+            names.append("Z")
+            out.append(r"([Zz]|[+-](?:[01]\d|2[0-3]):?[0-5]\d)")
         elif m.group() == "''":
             out.append("'")
         else:
@@ -115,9 +121,12 @@ def pattern(format_: str):
     expression = "^" + "".join(out) + r"\z"
 
     def parse(c: Column) -> Column:
-        value = {n: _int(F.regexp_extract(c, expression, k + 1)) for k, n in enumerate(names)}
+        value = {n: _int(F.regexp_extract(c, expression, k + 1)) for k, n in enumerate(names) if n != "Z"}
         zero = F.lit(0)
         at = _seconds(*[value.get(n, zero) for n in ("yyyy", "MM", "dd", "HH", "mm", "ss")])
+        if "Z" in names:
+            zone = _int(F.translate(F.regexp_extract(c, expression, names.index("Z") + 1), ":", ""))
+            at = at - (zone * 36 + zone % 100 * 24)
         return F.when(c.rlike(expression), at.cast("double") + value.get("SSS", zero) / 1000)
 
     parse.format = format_

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import wraps
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,11 +107,18 @@ not_empty = _rule("empty", string=lambda c: c == "", array=lambda c: F.size(c) =
 
 @named
 def regex(pattern: str) -> Rule:
-    """Some part of the text matches; a pattern that doesn't compile is an error of declaration."""
+    """Some part of the text matches; a pattern that doesn't compile is an error of declaration.
+
+    It is compiled by the engine that will run it if a session is there, else by Python's.
+    """
+    context = SparkContext._active_spark_context
     try:
-        re.compile(pattern.replace(r"\z", r"\Z"))
-    except re.error as e:
-        raise SchemaError(f"invalid pattern {pattern!r}: {e}") from e
+        if context is not None and context._jvm is not None:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern.replace(r"\z", r"\Z"))
+    except (re.error, Py4JJavaError, IllegalArgumentException) as e:
+        raise SchemaError(f"invalid pattern {pattern!r}: {str(e).splitlines()[0]}") from e
     return _rule("pattern_mismatch", {"pattern": pattern}, string=lambda c: ~c.rlike(pattern))
 
 
@@ -151,10 +161,10 @@ def nearest(value: Column, options: Sequence[str]) -> Column:
 
 
 @named
-def variant_of(*options: str) -> Rule:
-    """A closed set of texts, with the nearest one as a hint."""
-    rule = _rule("unknown_variant", {"options": ", ".join(options)}, string=lambda c: ~c.isin(*options))
-    return replace(rule, hint=lambda c: nearest(c, options))
+def variant_of(*options: str | int) -> Rule:
+    """A closed set of texts, with the nearest one as a hint, or of whole numbers."""
+    rule = _rule("unknown_variant", {"options": ", ".join(map(str, options))}, string=lambda c: ~c.isin(*options), number=lambda c: ~c.isin(*options))
+    return replace(rule, hint=lambda c: nearest(c, options)) if all(isinstance(o, str) for o in options) else rule
 
 
 positive = _rule("not_positive", number=lambda c: ~_real(c) | ~(c > 0))

@@ -79,10 +79,10 @@ class Field:
     """One field: its type is a scalar name, ``array<...>``, ``map<string,...>``, ``variant``, a nested Schema, or ArrayOf
     or MapOf any of these.
 
-    ``cases`` are the texts of an enum. A closed one reports others; an ``open`` one keeps them, and encoding
+    ``cases`` are the texts of an enum, or the whole numbers of a closed one. A closed one reports others; an ``open`` one keeps them, and encoding
     refuses them unless it is ``round_trips``.
 
-    ``default`` stands in for absence and is then validated; ``fallback`` replaces whatever is wrong, with a
+    An ``ignore`` field is never read; with a ``default`` decoding produces that. ``default`` stands in for absence and is then validated; ``fallback`` replaces whatever is wrong, with a
     warning. ``dates`` are parsers in the order they are tried. ``transform`` runs after the rules; encoding
     such a field needs ``inverse``. ``xml`` places a field in encoded XML: an ``element`` (an array repeats it), an
     ``attribute``, the ``text`` of its element, or an array ``wrapped`` in one element.
@@ -103,7 +103,7 @@ class Field:
     inverse: Callable[[Column], Column] | None = None
     ignore: bool = False
     extras: bool = False
-    cases: Sequence[str] = ()
+    cases: Sequence[str | int] = ()
     enum: str = "closed"
     xml: str = "element"
 
@@ -179,8 +179,10 @@ class Schema:
             spark_type_of(f.type)
         except SchemaError as e:
             raise SchemaError(f"{where}: {e}") from e
-        if f.enum not in ("closed", "open", "round_trips") or f.cases and f.type != "string":
-            raise SchemaError(f"{where}: cases are for strings, in an enum that is closed, open or round_trips")
+        if f.enum not in ("closed", "open", "round_trips") or not all(isinstance(c, str if f.type == "string" else int) for c in f.cases) or f.cases and f.type not in ("string", "long", "int"):
+            raise SchemaError(f"{where}: cases are those of strings or whole numbers, in an enum that is closed, open or round_trips")
+        if f.cases and f.type != "string" and f.enum != "closed":
+            raise SchemaError(f"{where}: an enum of numbers is closed")
         kind = opened(f.type)[0]
         if f.xml not in ("element", "attribute", "text", "wrapped") or f.xml in ("attribute", "text") and kind != "scalar" or f.xml == "wrapped" and kind != "array":
             raise SchemaError(f"{where}: XML attributes and text are scalars, wrapped fields are arrays")
