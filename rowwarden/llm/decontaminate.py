@@ -218,10 +218,11 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
     """Add a struct column ``into``: ``n_words``, ``n_hit``, ``matches``, ``contaminated``.
 
     ``matches`` holds for each item with an occurring window its longest verbatim match and the place of it
-    in both texts. A document is contaminated if windows cover at least ``min_share`` of its words.
+    in both texts. A document is contaminated if windows cover at least one in ``one_in`` of its words. A column
+    that is named ``into`` already is replaced.
 
-    Texts stay in place: there is no shuffle, and only a block of at most about ``block_bytes`` of benchmark
-    text is broadcast at a time. A null text has no words; items whose id or text is null, or that have no
+    Texts stay in place: there is no shuffle. The benchmark is broadcast in blocks of about ``block_bytes`` of text,
+    all of which live at once. A null text has no words; items whose id or text is null, or that have no
     words, match nothing; repeated documents get equal results; items that share an id count as one.
     """
     raw = free_name(docs, "_contamination_raw")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import if_few, if_small, materialize, require_integral
+from ._shared import free_name, if_few, if_small, materialize, require_integral
 from ._text import FOLD, NONSPACE, hash_spans, lists, mix, ranges, slabs, window_hashes, word_spans
 from .graphs import components
 
@@ -429,6 +429,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. Options as for :func:`link`."""
-    gone = link(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    name = free_name(docs, "_gone")
+    gone = link(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "gone")
-    return docs.join(if_small(gone, gone.count()), F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(if_small(gone, gone.count()), F.col(doc_id) == F.col(name), "left_anti")
