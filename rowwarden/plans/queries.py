@@ -431,12 +431,12 @@ def roundtrip_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is encoded reads back: orders that don't come back, and orders that come back changed."""
     loose = Schema("order", [Field("orderKey", "long"), Field("orderLines", ArrayOf(Schema("line", [Field(f.name, f.type) for f in _LINE.fields], keys="snake"))), Field("byNumber", MapOf(Schema("line", [Field(f.name, f.type) for f in _LINE.fields], keys="snake")))], keys="snake")
     rows = _order_lines(spark, sf_dir)
-    back = json.decode(encode.encode_json(rows, loose).select("json"), loose, "json").select("value.*", "_issues")
-    flat = lambda df, side: df.select("orderKey", "orderLines", F.array_sort(F.map_entries("byNumber")).alias("entries")).groupBy("orderKey", "orderLines", "entries").agg(F.sum(F.lit(side)).alias("n"))
-    both = flat(rows, 1).union(flat(back, -1)).groupBy("orderKey", "orderLines", "entries").agg(F.sum("n").alias("n"))
-    counted = both.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("made"))
-    total = back.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.size("_issues") > 0, 1).otherwise(0)), F.lit(0)).alias("refused"))
-    return total.join(counted, F.lit(True)).select("n", "lost", "made", "refused")  # one row each
+    back = json.decode(encode.encode_json(rows, loose).select("json"), loose, "json").select("value.*", F.when(F.size("_issues") > 0, 1).otherwise(0).alias("refused"))
+    keys = ["orderKey", "orderLines", "entries"]
+    flat = lambda df, side, refused: df.select("orderKey", "orderLines", F.array_sort(F.map_entries("byNumber")).alias("entries"), F.lit(side).alias("side"), refused.alias("refused"))
+    both = flat(rows, 1, F.lit(0)).union(flat(back, -1, F.col("refused"))).groupBy(keys).agg(F.sum("side").alias("over"), F.sum(F.when(F.col("side") < 0, 1).otherwise(0)).alias("back"), F.sum("refused").alias("refused"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return both.agg(total("back").alias("n"), total(F.greatest("over", F.lit(0))).alias("lost"), total(F.greatest(-F.col("over"), F.lit(0))).alias("made"), total("refused").alias("refused"))
 
 
 _KEYS = """'{"é": ' || c_custkey || ', "a\\\\"b": "' || c_name || '", "m": {"k": 1, "x": ' || c_nationkey || ', "k": ' || c_nationkey || '}, "é": ' || (c_custkey + 1) || CASE WHEN c_custkey % 3 = 0 THEN '}' ELSE ', "q?": [' || c_custkey || ', ' || c_custkey || '.5]}' END"""
