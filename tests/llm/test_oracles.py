@@ -33,8 +33,11 @@ ITEMS = [("a", " ".join(f"p{k}" for k in range(30))), ("b", "one"), ("c", None),
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("edge")
-    rows = [(k, t, ["s1", "s2", None, "s0"][k % 4]) for k, t in enumerate(_texts())]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(path / "documents.parquet"))
+    rows = [(k, t, ["s1", "s2", None, "s0"][k % 4], ["en", None, "de", ""][k // 3 % 4]) for k, t in enumerate(_texts())]
+    spark.createDataFrame([(k, int(k % 3 == 0), int(k % 5 == 0)) for k in range(0, len(rows) + 9, 2)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    turns = [(c, k, "user", f"t{c % 4}{k}" if k < c % 5 else f"own {c}") for c in [*range(0, 12), *range(98, 106), 300, 1007] for k in range(1 + c % 7)] + [(None, 0, "user", "x"), (77, None, None, None), (77, 0, None, "é")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(path / "conversations.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(str(path / "benchmark.parquet"))
     rng = random.Random(6)
     vectors = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(120)]
@@ -48,7 +51,7 @@ def folder(spark, tmp_path_factory):
 def test_query_equals_sql(spark, folder, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     df = queries.QUERIES[name](spark, folder)
     cols = sorted(df.columns)
