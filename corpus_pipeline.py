@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.llm import decontaminate, langid, mixing, neardup, secrets
-from rowwarden.llm._shared import free_name, materialize
+from rowwarden.llm._shared import bound_batches, free_name, materialize
 from rowwarden.llm.queries import language_model, read
 
 
 # In all stages a null or empty text has no language and goes in the first; a stage given one keeps it otherwise. Texts
-# are read whole, however long. Other columns pass through, whatever their names. An empty table stays one.
+# are read whole, however long, and go to Python in batches of bounded bytes. Other columns pass through, whatever
+# their names. An empty table stays one.
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without an identified language: texts that are null or have no letter. Repeated rows go or stay alike."""
+    bound_batches(spark)
     return langid.keep_identified(docs, language_model(docs))
 
 
@@ -25,16 +27,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words or without an id are linked with nothing and stay; rows that repeat an id and a
     text stay or go alike.
     """
+    bound_batches(spark)
     return neardup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows cover a twentieth or more; one without words stays."""
+    bound_batches(spark)
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a secret of a known form or of high entropy; one without text stays."""
+    bound_batches(spark)
     return secrets.remove(docs)
 
 

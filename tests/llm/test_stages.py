@@ -3,8 +3,11 @@
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -126,3 +129,22 @@ def test_mixing_keeps_what_it_takes(spark, world):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 3 for s in sizes)  # rows that repeat an id and a text at the cut are taken alike
     assert STAGES["mixing"](spark, docs.limit(0), path).collect() == []
+
+
+@pytest.mark.parametrize("stage", ["language", "near_duplicates", "contamination", "secrets"])
+def test_texts_go_to_python_in_bounded_batches(spark, world, stage):
+    path, _, docs = world
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()  # other tests' stages have set the limit of theirs
+    STAGES[stage](own, own.createDataFrame(docs.limit(20).collect(), KIND), path)
+
+    def sizes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([texts.nbytes] * len(texts))
+
+    texts = own.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text"))  # 12 MB, 4000 bytes each
+    batch = texts.select(F.arrow_udf(sizes, "long")("text")).collect()
+    assert len(batch) == 3000 and max(b[0] for b in batch) < 2_200_000
+    own.conf.set(limit, 12_345)
+    STAGES[stage](own, own.createDataFrame(docs.limit(20).collect(), KIND), path)
+    assert own.conf.get(limit) == "12345"
